@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakepost.llm.mixing import mix_sources, mixture_shares
+from lakepost.llm.mojibake import damaged_values
 from lakepost.llm.tokenize import encode_documents
 from lakepost.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_values(table(spark, sf_dir, "mails")).select("entry_id", "field")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -22,5 +27,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
