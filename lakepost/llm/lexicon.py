@@ -58,9 +58,15 @@ class Sketch:
 
     def __init__(self, counters: np.ndarray, total: int) -> None:
         self.counters, self.total, self.memo, self.logs = counters, max(1, total), {}, {}
+        self._top = int(counters.max()) if len(counters) else 0
+
+    @property
+    def top(self) -> int:
+        """The largest counter."""
+        return self._top
 
     def __getstate__(self):
-        return {"counters": self.counters, "total": self.total, "memo": {}, "logs": {}}
+        return {"counters": self.counters, "total": self.total, "memo": {}, "logs": {}, "_top": self._top}
 
     def count(self, key: str) -> int:
         got = self.memo.get(key)

@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakepost.llm.mixing import mix_sources, mixture_shares
 from lakepost.llm.mojibake import damaged_values
+from lakepost.llm.scans import scan_defects, scan_paragraphs
 from lakepost.llm.tokenize import encode_documents
 from lakepost.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_defects(table(spark, sf_dir, "content_segments"), table(spark, sf_dir, "content_documents"))
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_paragraphs(table(spark, sf_dir, "content_segments"), table(spark, sf_dir, "content_documents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_values(table(spark, sf_dir, "mails")).select("entry_id", "field")
 
@@ -27,5 +36,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
