@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakepost.llm.mixing import mix_sources, mixture_shares
 from lakepost.llm.mojibake import damaged_values
+from lakepost.llm.pii import personal_data, redact
 from lakepost.llm.scans import scan_defects, scan_paragraphs
 from lakepost.llm.tokenize import encode_documents
 from lakepost.session import table
@@ -23,6 +24,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_values(table(spark, sf_dir, "mails")).select("entry_id", "field")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "mails"), table(spark, sf_dir, "content_segments"))
+    return found.select("item_kind", "item_key", "field", "pii_type", "start_pos").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(table(spark, sf_dir, "mails"), table(spark, sf_dir, "content_segments"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -36,5 +46,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
