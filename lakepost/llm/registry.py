@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lakepost.llm.mixing import mix_sources, mixture_shares
 from lakepost.llm.mojibake import damaged_values
 from lakepost.llm.pii import personal_data, redact
+from lakepost.llm.replies import new_text, old_text
 from lakepost.llm.scans import scan_defects, scan_paragraphs
 from lakepost.llm.tokenize import encode_documents
 from lakepost.session import table
@@ -20,6 +21,14 @@ def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_paragraphs(table(spark, sf_dir, "content_segments"), table(spark, sf_dir, "content_documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return old_text(table(spark, sf_dir, "mails"), table(spark, sf_dir, "store_zones"))
+
+
+def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return new_text(table(spark, sf_dir, "mails"), table(spark, sf_dir, "store_zones"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_values(table(spark, sf_dir, "mails")).select("entry_id", "field")
 
@@ -46,5 +55,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
