@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakepost.llm.language import assign_languages, labelled_texts
 from lakepost.llm.mixing import mix_sources, mixture_shares
 from lakepost.llm.mojibake import damaged_values
 from lakepost.llm.pii import personal_data, redact
@@ -33,6 +34,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_values(table(spark, sf_dir, "mails")).select("entry_id", "field")
 
 
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = labelled_texts(table(spark, sf_dir, "lang_labels"), table(spark, sf_dir, "mails"), table(spark, sf_dir, "content_segments"))
+    return assign_languages(items, table(spark, sf_dir, "documents")).distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_languages(spark, sf_dir).filter("wrong").select("item_kind", "item_key", "lang").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "mails"), table(spark, sf_dir, "content_segments"))
     return found.select("item_kind", "item_key", "field", "pii_type", "start_pos").distinct()
@@ -55,5 +65,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -258,7 +258,7 @@ def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
     marked = parsed.select("entry_id", F.explode("old").alias("line_no"))
     told = parsed.filter("length(conversation_id) > 0 AND t > 0").select("conversation_id", "t", F.explode("told").alias("pair")).groupBy("conversation_id", "pair").agg(F.min("t").alias("since"))
     asked = parsed.filter("length(conversation_id) > 0 AND t > 0 AND size(asked) > 0").select("entry_id", "conversation_id", "t", F.explode("asked").alias("a")).select("entry_id", "conversation_id", "t", "a.first", "a.last", F.size("a.pairs").alias("n"), F.explode("a.pairs").alias("pair"))
-    held = asked.join(told, ["conversation_id", "pair"]).filter("since < t - 60000000")
+    held = asked.join(told, ["conversation_id", "pair"]).filter("since < t - 900000000")
     pasted = held.groupBy("entry_id", "first", "last", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("entry_id", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("line_no"))
     real = parsed.select("entry_id", F.explode("lines").alias("line_no"))
     return marked.unionByName(pasted.join(real, ["entry_id", "line_no"], "left_semi")).distinct()
