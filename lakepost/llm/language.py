@@ -171,7 +171,7 @@ def running_text(text: str) -> list[str]:
     def flush() -> None:
         nonlocal held
         if held:
-            held = [re.sub(r"\S+@\S+|\w+://\S+", " ", x) for x in held]
+            held = [re.sub(r"\S+@\S+|\w+://[!-~]+", " ", x) for x in held]
             joined = re.sub(r"(?<=\w)-\n(?=[^\W\d_])", "", "\n".join(held)).replace("\n", " ")
             for s in _SPLIT.split(joined):
                 if s and s.strip():

@@ -10,6 +10,7 @@ from lakepost.llm.mojibake import damaged_values
 from lakepost.llm.pii import personal_data, redact
 from lakepost.llm.replies import new_text, old_text
 from lakepost.llm.scans import scan_defects, scan_paragraphs
+from lakepost.llm.sentences import sentence_texts, split_documents
 from lakepost.llm.tokenize import encode_documents
 from lakepost.session import table
 
@@ -65,5 +66,13 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(mix_sources(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(table(spark, sf_dir, "documents")).distinct()
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_sentences": p10_sentences, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}
