@@ -158,7 +158,7 @@ def _stop_odds(block: str, m, model: Boundaries) -> float:
     if not rest:
         return 50.0
     east = mark[0] in "。！？" or regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", block[s - 1 : s]) is not None
-    lead = regex.match(r"[\"'“„«‚‘¿¡(\[「『（‹]*", rest)[0]
+    lead = regex.match(r"(?:[\"'“„«‚‘¿¡(\[「『（‹]\s*)*", rest)[0]
     word = rest[len(lead) :][:1]
     lower = bool(regex.match(r"\p{Ll}", word))
     upper = bool(regex.match(r"[\p{Lu}\p{Lt}]", word))
