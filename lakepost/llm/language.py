@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepost.llm.mojibake import _utf8_chain
-from lakepost.llm.replies import _CLOSING, _DEVICE, _FROM, _HEAD, _NOTICE, _RULE, _SEPARATOR, _WROTE, strip_quote
+from lakepost.llm.replies import _CLOSING, _DEVICE, _FROM, _HEAD, _RULE, _SEPARATOR, _WROTE, _notice, strip_quote
 from lakepost.session import cut
 
 LANGUAGES = ["pl", "en", "de", "fr", "es", "pt", "it", "cs", "nl", "sv", "uk", "ru", "ja"]
@@ -191,9 +191,9 @@ def running_text(text: str) -> list[str]:
             flush()
             closed = 6
             continue
-        if _DEVICE.match(line) or _NOTICE.search(line) or _SEPARATOR.match(line) or _FROM.match(line) and len(line) < 120 and not ends:
+        if _DEVICE.match(line) or _notice(line) or _SEPARATOR.match(line) or _FROM.match(line) and len(line) < 120 and not ends:
             flush()
-            if _NOTICE.search(line):
+            if _notice(line):
                 closed = 99
             continue
         if (line.endswith((":", "：")) and (_WROTE.search(line) and (re.search(r"\d", line) or "@" in line))) or re.search(r"<\S+@\S+>|\[mailto", line):

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
 import xxhash
@@ -61,7 +62,38 @@ _NOTICE = regex.compile(
 )
 _RULE = re.compile(r"^[ \t]*(?:[-_=*~#–—+.·•]{2,}|-- ?)[ \t]*$")
 _PS = regex.compile(r"(?i)^[ \t]*(?:p\.? ?s\.?|ps|пс|p\.p\.s|追伸)(?:[ .:：,–-]|$)")
-_SENTENCE = regex.compile(r"[^.!?。！？…]+[.!?。！？…]+|[^.!?。！？…]+$")
+_SENTENCE = re.compile(r"[^.!?。！？…]+[.!?。！？…]+|[^.!?。！？…]+$")
+_NONWORD = re.compile(r"\W+")
+_NAME = regex.compile(r"[\p{Lu}\p{Lo}][\p{L}\p{M}’'\-?�]+(?: (?:\p{Lu}\. )?[\p{Lu}\p{Lo}][\p{L}\p{M}’'\-?�]+){0,2}")
+_CONTACT = regex.compile(r"@|\d{3}[ \-.]\d{2,3}|^\s*(?:T|E|tel|mob|e-mail)\b|\p{L} [|–,] \p{Lu}")
+_DAYS = re.compile(r"[ \t]*>[ ]?\d+ [^\W\d_A-ZÀ-Þ]")
+_INTRO = regex.compile(r"(?i)[\s]*(?:on|w dniu|dnia|am|le|el|em|il|dne|op|den|\d|\p{Lu})")
+_SAYS = regex.compile(r"(?i)(wrote|pisze|napisa|schrieb|crit|escribi|escreveu|ha scritto|napsal|schreef|skrev|пишет|написал|писал|пише|написав|писав|書き)\S*\s*(?:\(a\))?[^.]{0,60}[:：]$")
+_LETTERS = re.compile(r"[^\W\d_]{3}")
+
+
+# Pieces of words one of which every notice holds.
+_NOTICE_PIECES = (
+    "extern|outside|confidential|intended|received|delete|notify|think before|consider|automat|unattended|reply|this mess|this mail|this e-|this email|poufn|adresat|omyłk|spoza|nie otwieraj|wydruk|nie odpowiada|prosimy o|usunięcie|wiadomość|vertraulich|ausschlie|irrtüm|diese |druck|nicht auf|absender"
+    "|confidentiel|erreur|destinatai|ce message|ce courriel|répondre|imprimer|extérieur|este |esta |confidencial|error|engano|nicamente|destinatari|respond|imprimir|fora da|riservat|questo|errore|stampare|esterno|důvěrn|tato |tento |omylem|neodpov|vytiš|mimo |vertrouwelijk|dit bericht|deze |uitsluitend|vergissing|beantwoorden|buiten "
+    "|konfiden|detta |misstag|svara|utanför|skriver ut|конфиденц|это |ошибке|автомат|не отвечайте|извне|печатью|конфіденц|цей лист|це повідомлення|помилков|не відповідайте|ззовні|за межами|機密|本メール|このメール|誤って|自動|返信|社外|組織外|印刷"
+).split("|")
+
+
+def _pieces():
+    a = ahocorasick.Automaton()
+    for x in _NOTICE_PIECES:
+        a.add_word(x, True)
+    a.make_automaton()
+    return a
+
+
+_PIECES = _pieces()
+
+
+def _notice(line: str) -> bool:
+    """Whether a line speaks like a notice; the automaton spares most lines the patterns."""
+    return next(_PIECES.iter(line.lower()), None) is not None and _NOTICE.search(line) is not None
 
 
 def strip_quote(line: str) -> str:
@@ -75,7 +107,7 @@ def _name_line(line: str, sender: str) -> bool:
         return False
     if sender and (t == sender or t == sender.split(" ")[0] or t in sender):
         return True
-    return regex.fullmatch(r"[\p{Lu}\p{Lo}][\p{L}\p{M}’'\-?�]+(?: (?:\p{Lu}\. )?[\p{Lu}\p{Lo}][\p{L}\p{M}’'\-?�]+){0,2}", t) is not None
+    return _NAME.fullmatch(t) is not None
 
 
 def old_lines(body: str, sender: str = "") -> list[bool]:
@@ -87,7 +119,7 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
     quoted = [bool(_MARKED.match(x)) for x in lines]
     for i in range(n):
         # a lone "> 30 days ..." is a comparison, no quotation
-        if quoted[i] and regex.match(r"[ \t]*>[ ]?\d+ \p{Ll}", lines[i]) and not (i and quoted[i - 1]) and not (i + 1 < n and quoted[i + 1]):
+        if quoted[i] and _DAYS.match(lines[i]) and not (i and quoted[i - 1]) and not (i + 1 < n and quoted[i + 1]):
             quoted[i] = False
         old[i] = quoted[i]
     # wrapped ends of quoted lines: a short line without a prefix inside a quotation
@@ -110,7 +142,7 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
                         break
                     joined = " ".join(x.strip() for x in lines[k : j + 1])
                     top = k
-                    if _DATE.search(joined) and _WROTE.search(joined) and (regex.match(r"(?i)[\s]*(?:on|w dniu|dnia|am|le|el|em|il|dne|op|den|\d|\p{Lu})", lines[k])):
+                    if _DATE.search(joined) and _WROTE.search(joined) and _INTRO.match(lines[k]):
                         if k > 0 and not blank[k - 1] and not quoted[k - 1] and not _DATE.search(lines[k]) and k - 1 > j - 4:
                             continue
                         break
@@ -122,7 +154,7 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
         if blank[i] or quoted[i]:
             continue
         tail = None
-        if _SEPARATOR.match(lines[i]) and regex.search(r"\p{L}{3}", lines[i]) and not _NOTICE.search(lines[i]):
+        if _SEPARATOR.match(lines[i]) and _LETTERS.search(lines[i]) and not _notice(lines[i]):
             tail = i
         elif _FROM.match(lines[i]):
             heads = sum(1 for k in range(i, min(n, i + 6)) if not blank[k] and not quoted[k] and _HEAD.match(lines[k]) and len(lines[k]) < 160)
@@ -133,7 +165,7 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
                     k -= 1
                 if k >= 0 and _RULE.match(lines[k]) and k >= i - 2:
                     tail = k
-        elif lines[i].rstrip().endswith((":", "：")) and _WROTE.search(lines[i]) and _DATE.search(lines[i] + (lines[i - 1] if i else "")) and regex.search(r"(?i)(wrote|pisze|napisa|schrieb|crit|escribi|escreveu|ha scritto|napsal|schreef|skrev|пишет|написал|писал|пише|написав|писав|書き)\S*\s*(?:\(a\))?[^.]{0,60}[:：]$", lines[i]):
+        elif lines[i].rstrip().endswith((":", "：")) and _WROTE.search(lines[i]) and _DATE.search(lines[i] + (lines[i - 1] if i else "")) and _SAYS.search(lines[i]):
             follows = next((k for k in range(i + 1, n) if not blank[k]), None)
             if follows is not None and not quoted[follows] and not old[i]:
                 tail = i if _DATE.search(lines[i]) or i == 0 or blank[i - 1] else i - 1
@@ -157,14 +189,14 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
             first_closed = i if first_closed is None else first_closed
         elif rule:
             old[i] = True
-            if following is not None and not old[following] and not _NOTICE.search(lines[following]) and first_closed is None and i > 0:
+            if following is not None and not old[following] and not _notice(lines[following]) and first_closed is None and i > 0:
                 first_closed = i
-            if following is not None and _NOTICE.search(lines[following]) and not old[following]:
+            if following is not None and _notice(lines[following]) and not old[following]:
                 pass
         elif closing and (following is None or old[following] or following > i + 1 or _RULE.match(lines[following]) or len(lines[following]) < 60 or _DEVICE.match(lines[following])):
             old[i] = True
             first_closed = i if first_closed is None else first_closed
-        elif _NOTICE.search(t) and _is_notice(lines, i, n, blank, old, first_closed):
+        elif _notice(t) and _is_notice(lines, i, n, blank, old, first_closed):
             k = i
             while k < n and not blank[k] and not quoted[k] and not (_RULE.match(lines[k]) and k > i and False):
                 old[k] = True
@@ -175,7 +207,7 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
                 b -= 1
             i = k
             continue
-        elif first_closed is None and _name_line(t, sender) and (following is None or old[following] or following > i + 1 and _after_name(lines, following, n) or _contact(lines[following])) and i > 0 and (blank[i - 1] or old[i - 1] or bool(sender) and t.rstrip(",.") in sender) and (following is None or not regex.search(r"[,!]$", t)):
+        elif first_closed is None and _name_line(t, sender) and (following is None or old[following] or following > i + 1 and _after_name(lines, following, n) or _contact(lines[following])) and i > 0 and (blank[i - 1] or old[i - 1] or bool(sender) and t.rstrip(",.") in sender) and (following is None or not t.endswith((",", "!"))):
             old[i] = True
             first_closed = i
         elif first_closed is not None:
@@ -190,11 +222,11 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
 
 def _after_name(lines: list[str], k: int, n: int) -> bool:
     t = lines[k]
-    return bool(_MARKED.match(t) or _PS.match(t) or _RULE.match(t) or _SEPARATOR.match(t) or _FROM.match(t) or _NOTICE.search(t) or _DEVICE.match(t)) or k > 0
+    return bool(_MARKED.match(t) or _PS.match(t) or _RULE.match(t) or _SEPARATOR.match(t) or _FROM.match(t) or _notice(t) or _DEVICE.match(t)) or k > 0
 
 
 def _contact(line: str) -> bool:
-    return regex.search(r"@|\d{3}[ \-.]\d{2,3}|^\s*(?:T|E|tel|mob|e-mail)\b|\p{L} [|–,] \p{Lu}", line) is not None
+    return _CONTACT.search(line) is not None
 
 
 def _is_notice(lines: list[str], i: int, n: int, blank: list[bool], old: list[bool], closed: int | None) -> bool:
@@ -206,7 +238,7 @@ def _is_notice(lines: list[str], i: int, n: int, blank: list[bool], old: list[bo
     while k < n and not blank[k]:
         k += 1
     starts = i == 0 or blank[i - 1] or old[i - 1]
-    rest = all(blank[q] or old[q] or _NOTICE.search(lines[q]) or _RULE.match(lines[q]) or _DEVICE.match(lines[q]) for q in range(k, n))
+    rest = all(blank[q] or old[q] or _notice(lines[q]) or _RULE.match(lines[q]) or _DEVICE.match(lines[q]) for q in range(k, n))
     return starts and rest
 
 
@@ -222,7 +254,7 @@ def paragraphs(body: str) -> list[tuple[int, int, list[str]]]:
             held.append(t)
         elif held:
             text = " ".join(held)
-            out.append((start, i, [s for x in _SENTENCE.findall(text) if len(s := regex.sub(r"\W+", "", x).casefold()) >= 4]))
+            out.append((start, i, [s for x in _SENTENCE.findall(text) if len(s := _NONWORD.sub("", x).casefold()) >= 4]))
             start, held = None, []
     return out
 
