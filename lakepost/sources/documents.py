@@ -174,6 +174,7 @@ def extract_segments(files: DataFrame, key: str = "document_key") -> DataFrame:
         for pdf in batches:
             rows = [{"document_key": k, "ordinal": i, **r} for k, f, m, c in zip(pdf[key], pdf["filename"], pdf["mime_type"], pdf["content"]) for i, r in enumerate(extract(f, m, c))]
             out = pd.DataFrame(rows, columns=names)
+            out = out.astype(object).where(out.notna(), None)
             for c in ("ordinal", "page_number", "slide_number"):
                 out[c] = out[c].astype("Int32")
             yield out
