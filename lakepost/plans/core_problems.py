@@ -18,4 +18,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": """WITH RECURSIVE pages AS (SELECT DISTINCT account_id, start_history_id, nullif(page_token,'') AS tok, nullif(next_page_token,'') AS nxt, try_cast(trim(history_id) AS HUGEINT) AS hid, upsert_ids, deleted_ids FROM history_pages),
+ chain AS (SELECT account_id, tok, nxt, hid, 0 AS place, upsert_ids, deleted_ids FROM pages WHERE tok IS NULL UNION ALL SELECT p.account_id, p.tok, p.nxt, coalesce(p.hid, c.hid), c.place + 1, p.upsert_ids, p.deleted_ids FROM chain c JOIN pages p ON p.account_id = c.account_id AND p.tok = c.nxt),
+ changes AS (SELECT account_id, unnest(upsert_ids) AS id, hid, place, 0 AS del FROM chain UNION ALL SELECT account_id, unnest(deleted_ids), hid, place, 1 FROM chain),
+ fresh AS (SELECT c.* FROM changes c LEFT JOIN accounts a ON a.id = c.account_id WHERE length(trim(c.id)) > 0 AND c.hid IS NOT NULL AND (try_cast(trim(a.last_history_id) AS HUGEINT) IS NULL OR c.hid > try_cast(trim(a.last_history_id) AS HUGEINT))),
+ last AS (SELECT account_id, id, arg_max(del, (hid, place, del)) AS del FROM fresh GROUP BY 1, 2)
+ SELECT coalesce(m.account_id, l.account_id) AS account_id, coalesce(m.gmail_message_id, l.id) AS gmail_message_id FROM (SELECT DISTINCT account_id, gmail_message_id FROM messages WHERE length(trim(gmail_message_id)) > 0) m FULL OUTER JOIN last l ON l.account_id = m.account_id AND l.id = m.gmail_message_id WHERE l.del IS NULL OR l.del = 0""",
+}
