@@ -271,7 +271,7 @@ def block_ends(block: str, model: Boundaries) -> list[int]:
         while closers and block[e - 1] in "“‘\"'" and e < len(block) and not block[e].isspace() and block[e] not in ",.;:" and not inside[s]:
             e -= 1
             closers -= 1
-        if inside[min(e, len(block) - 1)] and e < len(block) and inside[e - 1 if closers else e]:
+        if inside[e - 1 if closers else s]:
             continue
         odds = _stop_odds(block, regex.match(rf"{_FINAL}+{_CLOSE}*", block[:e], pos=s) or m, model) if e == m.end() else _stop_odds(block, m, model)
         places.append((e, odds))
