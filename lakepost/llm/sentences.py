@@ -273,7 +273,7 @@ def block_ends(block: str, model: Boundaries) -> list[int]:
             closers -= 1
         if inside[e - 1 if closers else s]:
             continue
-        odds = _stop_odds(block, regex.match(rf"{_FINAL}+{_CLOSE}*", block[:e], pos=s) or m, model) if e == m.end() else _stop_odds(block, m, model)
+        odds = _stop_odds(block, m if e == m.end() else _CANDIDATE.match(block[:e], s), model)
         places.append((e, odds))
     if _THAI.search(block):
         for m in _SPACE.finditer(block):
