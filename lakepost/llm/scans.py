@@ -34,7 +34,7 @@ CONFUSIONS = [
     ("5", "s"), ("5", "S"), ("cl", "d"), ("c", "e"), ("e", "c"), ("9", "g"), ("9", "q"), ("rn", "m"), ("ri", "n"), ("1", "l"), ("1", "i"), ("1", "I"), ("l", "i"), ("i", "l"), ("I", "l"), ("l", "I"),
     ("@", "a"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("m", "rn"), ("0", "o"), ("0", "O"), ("O", "o"), ("ii", "u"), ("ii", "ü"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("vv", "w"), ("8", "B"), ("6", "b"), ("6", "G"), ("2", "z"), ("2", "Z"),
     ("li", "h"), ("in", "m"), ("!", "l"), ("|", "l"), ("|", "I"), ("€", "e"), ("£", "E"), ("q", "g"), ("7", "T"), ("4", "A"), ("3", "e"), ("3", "з"), ("з", "3"), ("0", "о"),
-    ("п", "л"), ("л", "п"), ("н", "и"), ("и", "н"), ("ш", "щ"), ("щ", "ш"), ("е", "с"), ("с", "е"), ("б", "6"), ("6", "б"), ("ц", "и"), ("ь", "ъ"), ("ii", "й"), ("ll", "U"), ("$", "S"), ("ó", "6"), ("¢", "c"), ("°", "o"),
+    ("п", "л"), ("л", "п"), ("н", "и"), ("и", "н"), ("ш", "щ"), ("щ", "ш"), ("е", "с"), ("с", "е"), ("б", "6"), ("6", "б"), ("ц", "и"), ("ь", "ъ"), ("ii", "й"), ("ll", "U"), ("$", "S"), ("$", "ś"), ("$", "Ś"), ("q", "ą"), ("t", "ł"), ("é", "ć"), ("ć", "é"), ("d", "cl"), ("l", "ł"), ("9", "ą"), ("ó", "6"), ("¢", "c"), ("°", "o"),
 ]
 #: Shapes that are one letter in the folded key of a line.
 _FOLD = str.maketrans({c: r for r, cs in {"o": "oO0aAcCeEóòöáàäéèê@€", "l": "lL1iI!|tTfFjJíì", "s": "sS5$", "g": "gG9qQ", "n": "nNuUvVyYńü", "h": "hHbB68"}.items() for c in cs})
@@ -254,7 +254,7 @@ def _corrected(word: str, lex: Sketch) -> str | None:
             best, gain = cand, float(known)
     if best is not None:
         return best
-    if odd and re.fullmatch(r"[^\W\d_]*[0-9@|!][^\W\d_]*", word) and letters >= 4 and not re.fullmatch(r"[A-Z]+\d|\d[A-Z]+", word):
+    if odd and re.fullmatch(r"[^\W\d_]*[0-9@|!$][^\W\d_]*", word) and letters >= 3 and not re.fullmatch(r"[A-Z]+\d|\d[A-Z]+", word):
         cands = [c for c in corrections(word) if c.isalpha()]
         return max(cands, key=lex.letters) if cands else None
     if seen <= 2 and word.isalpha() and len(word) >= 6:
