@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepost.functions.timestamps import MONTH_OF
+from lakepost.llm import patterns
 
 # Abbreviations that stand before what they belong to.
 NEVER_END = set("dr prof mr mrs ms st sr sra sig dott ing mgr inż mevr dhr nr no núm num pág pag pág str s p pp fig obr sec zob por viz véase tel tél ul al pl os ca ok approx vs np tj tzn vgl bzw ggü abs art bil dvs kl см стор рис прил дод див просп вул проф ул příl č resp tzv cf zał pkt godz ub mw all cap mob ext kap abb abt gem d т г п с стр о им гл м e.g i.e z.b d.h t.o.v c.-à-d m.in exmos ex exmo д pr blz डॉ мин тел kol sek avd adr".split())
@@ -59,7 +60,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
         at += len(line) + 1
     lengths = [len(text[a:b].rstrip()) for a, b in lines]
     width = max(lengths, default=0)
-    east = regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}]", text) is not None
+    east = patterns.search(r"[\p{Han}\p{Hiragana}\p{Katakana}]", text) is not None
     wraps = (28 if east else 40) <= width <= 110
     out: list[tuple[int, int]] = []
     start = end = None
@@ -75,10 +76,10 @@ def blocks(text: str) -> list[tuple[int, int]]:
         nxt = text[lines[k + 1][0] : lines[k + 1][1]].strip() if k + 1 < len(lines) else ""
         split = True
         if nxt and wraps and not _LIST.match(nxt) and not _TABLE.search(line) and not _TABLE.search(nxt):
-            first = nxt.split()[0] if not east or regex.match(r"[\x21-\x7e]", nxt) else nxt[:1]
+            first = nxt.split()[0] if not east or patterns.match(r"[\x21-\x7e]", nxt) else nxt[:1]
             fits = len(text[a:b].rstrip()) + 1 + len(first) <= width if not east else len(line) < width - 4
             split = fits
-            if fits and not east and regex.match(r"\p{Ll}", nxt) and not regex.search(r"[.!?:…]$", line) and len(line) > 0.6 * width:
+            if fits and not east and patterns.match(r"\p{Ll}", nxt) and not patterns.search(r"[.!?:…]$", line) and len(line) > 0.6 * width:
                 split = False
         if split:
             out.append((start, end))
@@ -109,9 +110,9 @@ class Boundaries:
 
 def _final_stops(block: str) -> Iterator[tuple[str, str]]:
     """(word, what follows) of each full stop: E end of block, L lower case or digit, U other."""
-    for m in regex.finditer(r"([\p{L}\p{M}][\p{L}\p{M}.\-]{0,9})\.(?=\s|$)", block):
+    for m in patterns.finditer(r"([\p{L}\p{M}][\p{L}\p{M}.\-]{0,9})\.(?=\s|$)", block):
         rest = block[m.end() :].lstrip()
-        yield m[1].lower(), "E" if not rest else "L" if regex.match(r"[\p{Ll}\p{N}]", rest) else "U"
+        yield m[1].lower(), "E" if not rest else "L" if patterns.match(r"[\p{Ll}\p{N}]", rest) else "U"
 
 
 def train(documents: DataFrame) -> Boundaries:
@@ -125,7 +126,7 @@ def train(documents: DataFrame) -> Boundaries:
                     block = t[a:b]
                     c.update(_final_stops(block))
                     if _THAI.search(block):
-                        stripped = regex.sub(r"[\p{P}]", " ", block).strip()
+                        stripped = patterns.sub(r"[\p{P}]", " ", block).strip()
                         c[("<" + stripped[:3], "X")] += 1
                         c[(">" + stripped[-3:], "X")] += 1
                         for m in _SPACE.finditer(stripped):
@@ -149,7 +150,8 @@ def train(documents: DataFrame) -> Boundaries:
 def _stop_odds(block: str, m, model: Boundaries) -> float:
     """Log-odds that final punctuation ends a unit."""
     s, e = m.span()
-    mark = regex.match(rf"{_FINAL}+", m[0])[0]
+    tail = block[max(0, s - 60) : s]
+    mark = patterns.match(rf"{_FINAL}+", m[0])[0]
     closers = m[0][len(mark) :]
     after = block[e:]
     rest = after.lstrip()
@@ -157,37 +159,37 @@ def _stop_odds(block: str, m, model: Boundaries) -> float:
     nxt = rest[:1]
     if not rest:
         return 50.0
-    east = mark[0] in "。！？" or regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", block[s - 1 : s]) is not None
-    lead = regex.match(r"(?:[\"'“„«‚‘¿¡(\[「『（‹]\s*)*", rest)[0]
+    east = mark[0] in "。！？" or patterns.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", block[s - 1 : s]) is not None
+    lead = patterns.match(r"(?:[\"'“„«‚‘¿¡(\[「『（‹]\s*)*", rest)[0]
     word = rest[len(lead) :][:1]
-    lower = bool(regex.match(r"\p{Ll}", word))
-    upper = bool(regex.match(r"[\p{Lu}\p{Lt}]", word))
+    lower = bool(patterns.match(r"\p{Ll}", word))
+    upper = bool(patterns.match(r"[\p{Lu}\p{Lt}]", word))
     odds = 3.0
     if mark == "." and not closers and not east:
-        t = _TOKEN.search(block[:s])
-        token = regex.split("[’']", t[0])[-1] if t else ""
+        t = _TOKEN.search(tail)
+        token = patterns.split("[’']", t[0])[-1] if t else ""
         if not gap:
-            if regex.match(r"[\p{Lu}][\p{L}’'\-]*[\p{Ll} ]", rest) and regex.search(r"\p{Ll}{2}$|\d$|[%€)]$", block[:s]) and not regex.search(r"\.\p{L}+$", block[:s]):
+            if patterns.match(r"[\p{Lu}][\p{L}’'\-]*[\p{Ll} ]", rest) and patterns.search(r"\p{Ll}{2}$|\d$|[%€)]$", tail) and not patterns.search(r"\.\p{L}+$", tail):
                 return 3.0
-            if regex.match(r"[\p{Lo}--[ºª]]", rest, regex.V1) or lead and upper:
+            if patterns.match(r"[\p{Lo}--[ºª]]", rest, regex.V1) or lead and upper:
                 return 3.0
             return -50.0
-        if regex.fullmatch(r"\p{L}", token):
-            if token.isupper() and regex.search(r"\d \p{Lu}$", block[:s]):
+        if patterns.fullmatch(r"\p{L}", token):
+            if token.isupper() and patterns.search(r"\d \p{Lu}$", tail):
                 return 2.0 if upper else -1.0
             one = model.abbreviation(token)
             return -4.0 if token.isupper() or one > 0 else (-4.0 if lower or nxt.isdigit() else (0.5 if token.lower() in MAY_END else -1.0))
         if token.lower() in MAY_END or token.rpartition(".")[2].lower() in {"o", "m"} and "." in token:
             return 2.0 if upper else -4.0
-        if regex.fullmatch(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}", token):
+        if patterns.fullmatch(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}", token):
             return -3.0 if token.lower() not in MAY_END else (2.0 if upper else -3.0)
-        if regex.fullmatch(r"\d{1,3}", token):
-            w = regex.match(r"\p{L}+", rest)
-            before = block[: s - len(token)].rstrip()
+        if patterns.fullmatch(r"\d{1,3}", token):
+            w = patterns.match(r"\p{L}+", rest)
+            before = tail[: len(tail) - len(token)].rstrip()
             if not before:
                 return -8.0
             if w and (w[0].lower() in CAPITAL_MONTHS or w[0].lower() in MONTH_OF):
-                near = regex.search(r"(?i)(?:am|vom|zum|den|dne|dnia|on|le|a|ke|od|do|der|den|bis|v|o)$|[:–-]$", before)
+                near = patterns.search(r"(?i)(?:am|vom|zum|den|dne|dnia|on|le|a|ke|od|do|der|den|bis|v|o)$|[:–-]$", before)
                 if near or lower:
                     return -6.0
             if lower:
@@ -203,22 +205,22 @@ def _stop_odds(block: str, m, model: Boundaries) -> float:
         if lower:
             return -5.0
         return 2.5 if gap or not upper or east else 1.0
-    if closers and not regex.fullmatch(r"[)\]}）】]+", closers):
+    if closers and not patterns.fullmatch(r"[)\]}）】]+", closers):
         # a quotation: does its sentence go on after it?
-        if regex.match(r"[,;:—–-]|と|って|という|との|，|、|を|が|は", rest):
+        if patterns.match(r"[,;:—–-]|と|って|という|との|，|、|を|が|は", rest):
             return -6.0
         if lower:
             return -6.0
         if not _CASED.match(word) or east:
-            begins = regex.search(rf"(?:^|{_FINAL}{_CLOSE}*\s*)([^.!?。！？।؟]*)$", block[: _opening(block, s)])
+            begins = patterns.search(rf"(?:^|{_FINAL}{_CLOSE}*\s*)([^.!?。！？।؟]*)$", block[: _opening(block, s)])
             said = begins is not None and len(begins[1].strip()) > 0
             return 4.0 if said else -4.0
         return 3.0
     if lower and mark[0] in "!?":
         return 0.8 if not closers else -2.0
     if east and not gap and mark == ".":
-        return -3.0 if regex.match(r"[\d\p{Latin}]", rest) else 1.0
-    if not gap and mark[0] in "!?" and regex.match(r"[\p{L}\p{N}=&]", rest) and not east and not upper:
+        return -3.0 if patterns.match(r"[\d\p{Latin}]", rest) else 1.0
+    if not gap and mark[0] in "!?" and patterns.match(r"[\p{L}\p{N}=&]", rest) and not east and not upper:
         return -5.0
     return odds
 
@@ -267,7 +269,7 @@ def block_ends(block: str, model: Boundaries) -> list[int]:
         s, e = m.span()
         if any(a <= s and e < b for a, b in urls):
             continue
-        closers = len(m[0]) - len(regex.match(rf"{_FINAL}+", m[0])[0])
+        closers = len(m[0]) - len(patterns.match(rf"{_FINAL}+", m[0])[0])
         while closers and block[e - 1] in "“‘\"'" and e < len(block) and not block[e].isspace() and block[e] not in ",.;:" and not inside[s]:
             e -= 1
             closers -= 1
@@ -315,7 +317,7 @@ def sentence_ends(text: str | None, model: Boundaries) -> list[int]:
         lead = len(block) - len(block.lstrip())
         if not block.strip():
             continue
-        if _TABLE.search(block) and "\n" not in block and not regex.search(rf"{_FINAL}\s+\S+\s+\S+\s+\S+\s", block):
+        if _TABLE.search(block) and "\n" not in block and not patterns.search(rf"{_FINAL}\s+\S+\s+\S+\s+\S+\s", block):
             out.append(a + len(block.rstrip()))
             continue
         out += [a + lead + p for p in block_ends(block.strip(), model)]
