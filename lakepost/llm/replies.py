@@ -31,7 +31,7 @@ from lakepost.functions.timestamps import utc_micros
 from lakepost.session import cut
 
 _QUOTE = regex.compile(r"^[ \t]*(?:\p{L}{0,3}[>|»][ \t]?)+")
-_MARKED = regex.compile(r"^[ \t]*(?:\p{Lu}{0,3}>|[|»>])")
+_MARKED = regex.compile(r"^[ \t]*(?:[\p{Lu}\p{Lo}]{0,3}>|[|»>])")
 # Verbs of lines that introduce a quotation.
 _WROTE = regex.compile(r"(?i)\b(wrote|writes|pisze|napisa\S*|schrieb|schreibt|a ?écrit|ecrit|escribió|escribi\S*|escreveu|ha scritto|scrive|napsal\S*|píše|schreef|schrijft|skrev|skriver|пишет|написал\S*|писал\S*|пише|написав\S*|писав\S*)\b|\p{L}*crit\b ?:|のメール|書きました|wrote:|さんは|:$")
 _DATE = regex.compile(r"\d{4}|\d{1,2}[./]\d{1,2}|\d{1,2}:\d{2}")
@@ -44,7 +44,7 @@ _FROM = regex.compile(r"^[ \t*_]*(?:From|Od|Von|De|Da|Van|Från|От|Від|差
 _CLOSING = regex.compile(
     r"(?i)^[ \t]*(?:(?:z |łączę |serdeczn|pozdraw|z poważaniem|z wyrazami|z uszanowaniem|dziękuję i pozdrawiam|miłego dnia|best|kind|warm|many thanks$|many thanks,|thanks,?$|thank you,?$|regards|yours|sincerely|cheers|cordially|mit (?:freundlich|best|herzlich|lieb)|freundliche|viele gr|beste gr|schöne gr|liebe gr|herzliche gr|hochachtungs|mfg|cordialement|bien (?:à|cordialement)|sincères|salutations|meilleures|bonne (?:journée|réception)|amicalement|respectueusement|veuillez agréer"
     r"|atentamente|saludos|un (?:cordial )?saludo|un abrazo|cordialmente|muy atentamente|reciba|atenciosamente|com os melhores|melhores cumprimentos|cumprimentos|um abraço|obrigad[oa],?$|cordiali|distinti|un saluto|cari saluti|saluti|a presto|s (?:pozdravem|úctou|přáním)|hezký (?:den|zbytek)|děkuji,?$|zdraví|met (?:vriendelijke|hartelijke|beste)|vriendelijke|hartelijke gr|groet|hoogachtend|vänlig|med vänlig|hälsning|bästa hälsning|mvh|hej då|tack,?$"
-    r"|с уважением|искренне|с наилучшими|всего (?:доброго|хорошего)|спасибо,?$|до свидания|з повагою|щиро|з найкращими|гарного дня|дякую,?$|всього найкращого|以上|よろしくお願い|敬具|草々|何卒)[^.?!。]{0,40}[,.!。]?[ \t]*$)"
+    r"|с уважением|искренне|с наилучшими|всего (?:доброго|хорошего)|спасибо,?$|до свидания|з повагою|щиро|з найкращими|гарного дня|дякую,?$|всього найкращого|以上|よろしくお願い|敬具|草々|何卒)[^.?!。]{0,40}[,.!。]{0,2}[ \t]*$)"
 )
 # Lines that a device adds.
 _DEVICE = regex.compile(
@@ -69,6 +69,7 @@ _CONTACT = regex.compile(r"@|\d{3}[ \-.]\d{2,3}|^\s*(?:T|E|tel|mob|e-mail)\b|\p{
 _DAYS = re.compile(r"[ \t]*>[ ]?\d+ [^\W\d_A-ZÀ-Þ]")
 _INTRO = regex.compile(r"(?i)[\s]*(?:on|w dniu|dnia|am|le|el|em|il|dne|op|den|\d|\p{Lu})")
 _SAYS = regex.compile(r"(?i)(wrote|pisze|napisa|schrieb|crit|escribi|escreveu|ha scritto|napsal|schreef|skrev|пишет|написал|писал|пише|написав|писав|書き)\S*\s*(?:\(a\))?[^.]{0,60}[:：]$")
+_ADDRESSED = re.compile(r"(?:<\S+@\S+>|\[mailto:\S+\])\s*$")
 _LETTERS = re.compile(r"[^\W\d_]{3}")
 
 
@@ -147,6 +148,8 @@ def old_lines(body: str, sender: str = "") -> list[bool]:
                             continue
                         break
                 if (_WROTE.search(joined) and (_DATE.search(joined) or "@" in joined)) or len(joined) < 90 and _WROTE.search(t):
+                    if top > 0 and not quoted[top - 1] and _ADDRESSED.search(lines[top - 1]) and len(lines[top - 1]) < 120:
+                        top -= 1
                     for k in range(top, j + 1):
                         old[k] = True
     # forwarded and pasted messages with separators or header blocks: to the end
