@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakepost.functions.text import TOKEN, ascii_lower, clock_label, fold_pairs, html_to_text, place_label, tokens
 from lakepost.operators import merge, rules, search, vector
-from lakepost.session import table
+from lakepost.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,7 +118,8 @@ COLUMNS = ["title", "text"]
 
 def _postings(s, d):
     docs = table(s, d, "documents").select("doc_id", *COLUMNS).distinct()
-    return search.build_postings(docs, "doc_id", COLUMNS), docs.select("doc_id")
+    # the index is written once and read by every phrase and statistic of the query
+    return cut(search.build_postings(docs, "doc_id", COLUMNS)), docs.select("doc_id")
 
 
 @query("tokenize_fold", f"WITH {POSTINGS} SELECT term, count(*) AS n FROM p GROUP BY term")
