@@ -5,16 +5,20 @@ character n-grams tells the languages whose bit is set from the others (log rati
 n-gram frequencies, learned from documents whose language is known, at most ``PER_LANGUAGE`` of
 each language: a bounded sample).  A sentence is decoded to the codeword of least weighted
 loss, bits weighted by how well they separate the training texts; neighbouring sentences are
-smoothed by Viterbi with a cost of switching; the confidence is the share of the best codeword
-among all, and ties or small margins are flagged as ambiguous.
-
-Defined cases: null, empty and too short texts have no language; damaged UTF-8 is read as what
-it was; repeated rows count once; texts are read whole.
+smoothed by Viterbi with a cost of switching; each run of sentences of one language is a part
+with its place in the text; the confidence is the share of the best codeword among all, and ties
+or small margins are flagged as ambiguous.
+
+Defined cases: null, empty and too short texts have no language, and come out as one row without
+it; damaged UTF-8 is read as what it was, but places are those of the text as given; runs of a
+language that is too short to count in its text come out and are marked; repeated rows count
+once; texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,6 +49,11 @@ LABEL_OF = {s: lang for lang, names in SPELLINGS.items() for s in names.split()}
 _WORDS = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]+|[\p{L}\p{M}’']+")
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]")
 _SPLIT = regex.compile(r"(?<=[.!?…][”“\"’»)]?)\s+(?=[\p{Lu}\p{N}¿¡„“«\"‘])|(?<=[。！？」])")
+_COUNTED = regex.compile(r"[\p{L} ,.'’-]+")
+_WIDE = re.compile(r"\S*[\u0080-￿]\S*")
+_ADDRESS = re.compile(r"\S+@\S+|\w+://[!-~]+")
+_HYPHEN = re.compile(r"(?<=\w)-\n(?=[^\W\d_])")
+_RETURN = re.compile("\r")
 _DAMAGE = re.compile("[ÂÃÄÅĂĹÐÑРС├┼√≈ƒ][\u0080-¿‐-›€™Œœ–—˜ˆ‚„…†‡‰ŠšŽžŸ„ȚĄŁąłĽľ°±-¿ѓЃЂђ]")
 
 
@@ -113,8 +122,19 @@ class Model:
         f, n = self.bits(text)
         if not n:
             return np.zeros(len(LANGUAGES))
-        loss = np.logaddexp(0, -self.code * f[None, :] / 4)
-        return -(loss * self.trust[None, :]).sum(axis=1) * (12.0 / BITS)
+        return self.losses(f[None, :])[0]
+
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Scores of each row of margins; a bit has one loss if it is set and one if it isn't."""
+        one, zero = np.logaddexp(0, -margins / 4), np.logaddexp(0, margins / 4)
+        return -(one @ ((self.code > 0) * self.trust).T + zero @ ((self.code < 0) * self.trust).T) * (12.0 / BITS)
+
+    def all_scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of each text, one row each."""
+        got = [self.bits(t) for t in texts]
+        out = self.losses(np.array([f for f, _ in got]))
+        out[[n == 0 for _, n in got]] = 0.0
+        return out
 
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
@@ -146,10 +166,41 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(weights, code, trust / trust.mean())
 
 
-def mend(text: str) -> str:
-    """Text with words of UTF-8 read as another charset put right."""
+#: Start and end after, start and end before, of each replacement in a text.
+Edits = list[tuple[int, int, int, int]]
+
+
+def replaced(pattern: re.Pattern, to, text: str) -> tuple[str, Edits]:
+    """``pattern.sub(to, text)`` and its replacements."""
+    out, edits, at, size = [], [], 0, 0
+    for m in pattern.finditer(text):
+        new = to(m) if callable(to) else to
+        out += (text[at : m.start()], new)
+        size += m.start() - at
+        edits.append((size, size + len(new), *m.span()))
+        size, at = size + len(new), m.end()
+    return "".join([*out, text[at:]]), edits
+
+
+def before(edits: Edits, start: int, end: int) -> tuple[int, int]:
+    """Where a piece of the changed text stood before; what was replaced counts whole."""
+    if not edits:
+        return start, end
+
+    def back(p: int, side: int) -> int:
+        k = bisect_right(edits, p, key=lambda e: e[0]) - 1
+        if k < 0:
+            return p + side
+        _, b, a0, b0 = edits[k]
+        return (a0, b0)[side] if p < b else p - b + b0 + side
+
+    return back(start, 0), back(end - 1, 1)
+
+
+def mended(text: str) -> tuple[str, Edits]:
+    """Text with words of UTF-8 read as another charset put right, and the replacements."""
     if text.isascii() or not _DAMAGE.search(text):
-        return text
+        return text, []
 
     def fix(m: re.Match) -> str:
         for dec in ("cp1252", "cp1250", "cp1251", "iso8859-2", "cp437", "cp852", "mac_roman"):
@@ -159,28 +210,48 @@ def mend(text: str) -> str:
                 return again[0] if again is not None and again[1] and not again[2] else got[0]
         return m[0]
 
-    return re.sub(r"\S*[\u0080-￿]\S*", fix, text)
+    return replaced(_WIDE, fix, text)
 
 
-def running_text(text: str) -> list[str]:
-    """Sentences of the running text: without greetings, signatures, notices, headers and page headers."""
-    out: list[str] = []
-    held: list[str] = []
+def running_text(text: str) -> list[tuple[str, int, int]]:
+    """(sentence, start, end) of the running text: without greetings, signatures, notices, headers and page headers."""
+    out: list[tuple[str, int, int]] = []
+    held: list[tuple[str, int]] = []
     closed = 0
 
     def flush() -> None:
         nonlocal held
         if held:
-            held = [re.sub(r"\S+@\S+|\w+://[!-~]+", " ", x) for x in held]
-            joined = re.sub(r"(?<=\w)-\n(?=[^\W\d_])", "", "\n".join(held)).replace("\n", " ")
+            changed = [replaced(_ADDRESS, " ", x) if "@" in x or "://" in x else (x, []) for x, _ in held]
+            firsts = [0]
+            for x, _ in changed:
+                firsts.append(firsts[-1] + len(x) + 1)
+            joined, hyphens = replaced(_HYPHEN, "", "\n".join(x for x, _ in changed))
+            joined = joined.replace("\n", " ")
+
+            def place(p: int, side: int) -> int:
+                """Place in the text of the start (0) or end (1) of the character p of what is joined."""
+                p = before(hyphens, p, p + 1)[0]
+                k = bisect_right(firsts, p) - 1
+                return at_end(held[k][1] + before(changed[k][1], p - firsts[k], p - firsts[k] + 1)[side], side)
+
+            at = 0
             for s in _SPLIT.split(joined):
-                if s and s.strip():
-                    out.append(s.strip())
+                if s and (s := s.strip()):
+                    at = joined.index(s, at)
+                    out.append((s, place(at, 0), place(at + len(s) - 1, 1)))
+                    at += len(s)
         held = []
 
-    lines = text.replace("\r", "").split("\n")
+    def at_end(p: int, side: int) -> int:
+        return before(returns, p, p + 1)[0] if side == 0 else before(returns, p - 1, p)[1]
+
+    text, returns = replaced(_RETURN, "", text) if "\r" in text else (text, [])
+    lines = text.split("\n")
+    following = 0
     for i, raw in enumerate(lines):
         line = strip_quote(raw).strip()
+        start, following = following + len(raw.rstrip()) - len(line), following + len(raw) + 1
         if not line or _RULE.match(line):
             flush()
             if line:
@@ -214,7 +285,7 @@ def running_text(text: str) -> list[str]:
             closed = 0
         if not held and len(line) < 40 and not ends and (line.endswith((",", ":", "！", "!")) or i + 1 >= len(lines) or not strip_quote(lines[i + 1]).strip()):
             continue
-        held.append(line)
+        held.append((line, start))
         closed = 0
     flush()
     return out
@@ -222,10 +293,17 @@ def running_text(text: str) -> list[str]:
 
 def languages(text: str, model: Model) -> list[tuple[str, int, float, bool]]:
     """(language, characters, confidence, ambiguous) of a text, the most frequent first."""
-    sentences = running_text(mend(text))
-    if not sentences:
-        return []
-    emit = np.array([model.scores(s) for s in sentences])
+    return read(text, model)[0]
+
+
+def read(text: str, model: Model) -> tuple[list[tuple[str, int, float, bool]], list[tuple[int, int, str, int, float, bool]]]:
+    """Languages of a text, and (start, end, language, characters, confidence, ambiguous) of each run of sentences of one language."""
+    clean, edits = mended(text)
+    placed = running_text(clean)
+    if not placed:
+        return [], []
+    sentences = [s for s, _, _ in placed]
+    emit = model.all_scores(sentences)
     back = np.zeros(emit.shape, int)
     best = emit[0].copy()
     for i in range(1, len(emit)):
@@ -236,10 +314,18 @@ def languages(text: str, model: Model) -> list[tuple[str, int, float, bool]]:
     for i in range(len(emit) - 1, 0, -1):
         path.append(int(back[i][path[-1]]))
     path.reverse()
+    sizes = [len("".join((_CJK if LANGUAGES[k] == "ja" else _COUNTED).findall(s))) for k, s in zip(path, sentences)]
+    runs = []
+    first = 0
+    for i in range(1, len(path) + 1):
+        if i == len(path) or path[i] != path[first]:
+            conf = _share(emit[first:i].sum(axis=0), path[first])
+            runs.append((*before(edits, placed[first][1], placed[i - 1][2]), LANGUAGES[path[first]], sum(sizes[first:i]), conf, conf < 0.8))
+            first = i
     size: Counter[int] = Counter()
     evidence: dict[int, np.ndarray] = {}
-    for k, s, e in zip(path, sentences, emit):
-        size[k] += sum(c.isalpha() or c in " ,.'’-" for c in s) if k != LANGUAGES.index("ja") else len(_CJK.findall(s))
+    for k, n, e in zip(path, sizes, emit):
+        size[k] += n
         evidence[k] = evidence.get(k, 0) + e
     total = sum(size.values())
     out = []
@@ -247,33 +333,52 @@ def languages(text: str, model: Model) -> list[tuple[str, int, float, bool]]:
         lang = LANGUAGES[k]
         if n < (LEAST_JA if lang == "ja" else LEAST) and not (len(size) == 1 and n >= 20):
             continue
-        p = np.exp(np.clip(evidence[k] - evidence[k].max(), -50, 0))
-        conf = float(p[k] / p.sum())
+        conf = _share(evidence[k], k)
         out.append((lang, n, conf, conf < 0.8))
-    return out if out or total < 30 else [(LANGUAGES[size.most_common(1)[0][0]], total, 0.5, True)]
+    return out if out or total < 30 else [(LANGUAGES[size.most_common(1)[0][0]], total, 0.5, True)], runs
+
 
+def _share(evidence: np.ndarray, k: int) -> float:
+    p = np.exp(np.clip(evidence - evidence[k], -50, 50))
+    return float(p[k] / p.sum())
 
-def labelled_texts(labels: DataFrame, mails: DataFrame, segments: DataFrame) -> DataFrame:
-    items = mails.select(F.lit("mail").alias("item_kind"), F.col("entry_id").alias("item_key"), F.col("body").alias("text")).unionByName(
+
+def item_texts(mails: DataFrame, segments: DataFrame) -> DataFrame:
+    """(item_kind, item_key, text) of every mail and segment."""
+    return mails.select(F.lit("mail").alias("item_kind"), F.col("entry_id").alias("item_key"), F.col("body").alias("text")).unionByName(
         segments.select(F.lit("segment").alias("item_kind"), F.col("segment_id").cast("string").alias("item_key"), F.col("clean_text").alias("text"))
     )
+
+
+def labelled_texts(labels: DataFrame, mails: DataFrame, segments: DataFrame, how: str = "left") -> DataFrame:
+    """Every item with the set of its labels, null without any; ``how`` = "inner" for those of ``labels`` alone."""
     wanted = labels.groupBy("item_kind", "item_key").agg(F.collect_set(F.coalesce(F.trim("label"), F.lit(""))).alias("labels"))
-    return items.filter("length(text) > 0").join(wanted, ["item_kind", "item_key"])
+    return item_texts(mails, segments).filter("item_key IS NOT NULL").join(wanted, ["item_kind", "item_key"], how)
 
 
 def assign_languages(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """(item_kind, item_key, labels, lang, chars, confidence, ambiguous, main): one row for each language of each item."""
+    """One row for each run of sentences of one language of each item, and one without language for items that have none.
+
+    ``start_pos`` and ``end_pos`` are places in the text, ``chars`` and ``confidence`` those of the
+    run; ``item_lang`` and ``item_confidence`` are the main language of the item, ``counts`` whether
+    the run's language reaches the least size in its item, ``wrong`` whether the item has no label, a
+    wrong one or several languages.
+    """
     model = items.sparkSession.sparkContext.broadcast(train(documents))
+    columns = ["item_kind", "item_key", "start_pos", "end_pos", "lang", "chars", "confidence", "ambiguous", "main", "counts", "item_lang", "item_confidence", "wrong"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for pdf in batches:
             rows = []
             for kind, key, text, labels in zip(pdf["item_kind"], pdf["item_key"], pdf["text"], pdf["labels"]):
-                found = languages(text, m)
-                wrong = bool(found) and (len(found) > 1 or any(label_language(x) != found[0][0] for x in labels))
-                rows += [(kind, key, lang, n, conf, amb, j == 0, wrong) for j, (lang, n, conf, amb) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["item_kind", "item_key", "lang", "chars", "confidence", "ambiguous", "main", "wrong"])
-
-    schema = "item_kind string, item_key string, lang string, chars int, confidence double, ambiguous boolean, main boolean, wrong boolean"
+                found, runs = read(text, m) if text else ([], [])
+                wrong = bool(found) and (len(found) > 1 or labels is None or any(label_language(x) != found[0][0] for x in labels))
+                main, sure = (found[0][0], found[0][2]) if found else (None, None)
+                known = {f[0] for f in found}
+                rows += [(kind, key, a, b, lang, n, conf, amb, lang == main, lang in known, main, sure, wrong) for a, b, lang, n, conf, amb in runs] or [(kind, key, None, None, None, None, None, None, None, None, None, None, wrong)]
+            frame = pd.DataFrame(rows, columns=columns, dtype=object)
+            yield frame.astype({"start_pos": "Int32", "end_pos": "Int32", "chars": "Int32", "confidence": "Float64", "item_confidence": "Float64"})
+
+    schema = "item_kind string, item_key string, start_pos int, end_pos int, lang string, chars int, confidence double, ambiguous boolean, main boolean, counts boolean, item_lang string, item_confidence double, wrong boolean"
     return items.select("item_kind", "item_key", "text", "labels").mapInPandas(run, schema)

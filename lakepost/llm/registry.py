@@ -41,7 +41,8 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_languages(spark, sf_dir).filter("wrong").select("item_kind", "item_key", "lang").distinct()
+    items = labelled_texts(table(spark, sf_dir, "lang_labels"), table(spark, sf_dir, "mails"), table(spark, sf_dir, "content_segments"), "inner").filter("length(text) > 0")
+    return assign_languages(items, table(spark, sf_dir, "documents")).filter("wrong AND counts").select("item_kind", "item_key", "lang").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

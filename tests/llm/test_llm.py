@@ -197,6 +197,21 @@ def test_held_out_languages(spark):
     assert language.languages("", model) == [] and language.languages(None or "\n\n", model) == []
 
 
+@needs_data
+def test_every_item_and_its_parts_have_a_language(spark):
+    en, de = "The server was restarted this morning and it works again as it did before the weekend.", "Das Angebot haben wir gestern erhalten und wir werden es bis Freitag in Ruhe prüfen."
+    body = f"Hi,\r\n\r\n{en}\r\n\r\n> {de}\r\n"
+    mails = spark.createDataFrame([("m", body), ("m", body), ("bare", en), ("none", None)], "entry_id string, body string")
+    segments = spark.createDataFrame([(7, de.replace("ü", "Ã¼"))], "segment_id long, clean_text string")
+    labels = spark.createDataFrame([("mail", "m", "en"), ("mail", "m", None)], "item_kind string, item_key string, label string")
+    got = language.assign_languages(language.labelled_texts(labels, mails, segments), spark.read.parquet(f"{DATA}/documents.parquet")).distinct().collect()
+    parts = sorted((r["item_key"], r["lang"], body[r["start_pos"] : r["end_pos"]]) for r in got if r["item_key"] == "m")
+    assert parts == [("m", "de", de), ("m", "en", en)] and all(r["confidence"] > 0.9 and r["counts"] and r["wrong"] and r["item_lang"] in ("en", "de") for r in got if r["item_key"] == "m")
+    assert [(r["lang"], r["start_pos"], r["end_pos"], r["wrong"]) for r in got if r["item_key"] == "bare"] == [("en", 0, len(en), True)]
+    assert [(r["lang"], r["start_pos"], r["end_pos"]) for r in got if r["item_key"] == "7"] == [("de", 0, len(de) + 1)]
+    assert [(r["lang"], r["confidence"], r["wrong"]) for r in got if r["item_key"] == "none"] == [(None, None, False)] and len(got) == 5
+
+
 # 10: sentences
 def units(text):
     m = sentences.Boundaries({}, {})
