@@ -14,6 +14,7 @@ once; texts of any length are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,7 @@ _LOST_C1 = set("ŚŹŤŽŠśźťžš")
 
 
 _URL = re.compile(r"\w+://[!-~]+")
+_URL_OR_TOKEN = re.compile(rf"{_URL.pattern}|{TOKEN.pattern}")
 
 
 def tokens(text: str) -> list[str]:
@@ -145,7 +147,7 @@ def judge_word(word: str, lex: Sketch) -> tuple[str, float, str] | None:
             inner = before.strip(_EDGE)
             sure = good >= 3 or not inner or lex.count("w:" + inner) * 3 >= seen or lex.letters(inner) > lex.letters(bare) + 3
             ratio = SURE if sure else 2.0
-            if best is None or ratio > best[1]:
+            if best is None or ratio > best[1] or ratio == best[1] and before != best[2] and lex.letters(inner) > lex.letters(best[2].strip(_EDGE)):
                 best = (f"utf-8>{dec}" + (">twice" if twice else ""), ratio, before)
         elif good >= 2 and bad <= good:
             if best is None or best[1] < 9.0:
@@ -298,17 +300,109 @@ def corpus_sketch(df: DataFrame, fields: list[str]) -> Sketch:
     return build_sketch(cut(word_counts(df, fields, tokens)), word_keys, least=2)
 
 
+def chain_posteriors(mails: DataFrame, key: str, pool: str, fields: list[str], lex) -> DataFrame:
+    """(key, field, chain, posterior) of the chains that anything speaks for; ``lex`` is a broadcast sketch."""
+    rows = mails.select(key, F.coalesce(pool, F.lit("")).alias(pool), *fields).filter(F.col(key).isNotNull())
+    found = cut(evidence(rows, key, pool, fields, lex).groupBy("key", "pool", "field", "chain").agg(F.max("llr").alias("llr")))
+    sizes = rows.groupBy(F.col(pool).alias("pool")).agg(F.count(F.lit(1)).alias("n")).crossJoin(mails.sparkSession.createDataFrame([(f,) for f in fields], "field string").hint("broadcast"))
+    return pooled_posterior(found, sizes)
+
+
 def damaged_values(mails: DataFrame, key: str = "entry_id", pool: str = "store_id", fields: tuple[str, ...] = ("subject", "body", "sender_name")) -> DataFrame:
     """(entry_id, field, chain, posterior) of the values that hold damaged text."""
     fields = list(fields)
     lex = mails.sparkSession.sparkContext.broadcast(corpus_sketch(mails, fields))
-    rows = mails.select(key, F.coalesce(pool, F.lit("")).alias(pool), *fields).filter(F.col(key).isNotNull())
-    found = cut(evidence(rows, key, pool, fields, lex).groupBy("key", "pool", "field", "chain").agg(F.max("llr").alias("llr")))
-    sizes = rows.groupBy(F.col(pool).alias("pool")).agg(F.count(F.lit(1)).alias("n")).crossJoin(mails.sparkSession.createDataFrame([(f,) for f in fields], "field string").hint("broadcast"))
-    best = pooled_posterior(found, sizes).groupBy("key", "field").agg(F.sum("posterior").alias("posterior"), F.max_by("chain", "posterior").alias("chain"))
+    best = chain_posteriors(mails, key, pool, fields, lex).groupBy("key", "field").agg(F.sum("posterior").alias("posterior"), F.max_by("chain", "posterior").alias("chain"))
     return best.filter("posterior > 0.5").select(F.col("key").alias(key), "field", "chain", "posterior")
 
 
+def repaired_values(mails: DataFrame, key: str = "entry_id", pool: str = "store_id", fields: tuple[str, ...] = ("subject", "body", "sender_name")) -> DataFrame:
+    """(entry_id, fields): every mail, the values that hold damaged text with their original text where it can be regained."""
+    fields = list(fields)
+    lex = mails.sparkSession.sparkContext.broadcast(corpus_sketch(mails, fields))
+    chains = chain_posteriors(mails, key, pool, fields, lex).groupBy("key", "field", "chain").agg(F.max("posterior").alias("posterior"))
+    chains = chains.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("field", "chain", "posterior")).alias("chains"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict = {}
+        sketch = lex.value
+        for pdf in batches:
+            for j, found in enumerate(pdf["chains"]):
+                for f in fields if found is not None else ():
+                    of = {c["chain"]: c["posterior"] for c in found if c["field"] == f}
+                    if sum(of.values()) > 0.5:
+                        pdf.at[j, f] = repair_by(pdf.at[j, f], of, sketch, memo)
+            yield pdf[[key, *fields]]
+
+    rows = mails.select(key, *fields).distinct().join(chains, key, "left")
+    return rows.mapInPandas(run, ", ".join(f"{c} string" for c in [key, *fields]))
+
+
+def _read_utf8(word: str, dec: str) -> str:
+    """The word's bytes under ``dec`` read as UTF-8; characters that are no UTF-8 stay as they are."""
+    chars = {b: c for c, b in _bytes_of(dec).items()}
+    text = raw_bytes(word, dec).decode("utf-8", errors="surrogateescape")
+    return "".join(chars[ord(c) - 0xDC00] if "\udc80" <= c <= "\udcff" else c for c in text)
+
+
+def under_chain(word: str, chain: str, lex: Sketch) -> tuple[float, str] | None:
+    """(log likelihood ratio against clean, word before the chain) of one chain, or null where it explains nothing."""
+    enc, dec, *again = chain.split(">")
+    if enc == "utf-8":
+        got = _utf8_chain(word, dec)
+        if got is not None and again:
+            got = _utf8_chain(got[0], dec) if got[2] == 0 else None
+        if got is None or got[1] == 0 or got[2] > got[1] or got[1] < 3 and not _PLAIN.fullmatch(got[0]):
+            return None
+        text = _read_utf8(word, dec)
+        text = _read_utf8(text, dec) if again else text
+        inner, bare = text.strip(_EDGE), word.strip(_EDGE)
+        sure = got[1] >= 3 or not inner or lex.count("w:" + inner) * 3 >= lex.count("w:" + bare) or lex.letters(inner) > lex.letters(bare) + 3
+        # read once more is better, if that is possible
+        return (SURE if sure else 2.0) + (1.0 if again else 0.0) - got[2], text
+    bare = word.strip(_EDGE)
+    raw = raw_bytes(bare, dec)
+    if raw is None or len(bare) < 2:
+        return None
+    try:
+        text = raw.decode(enc)
+    except UnicodeDecodeError:
+        return None
+    seen, n = lex.count("w:" + bare), lex.count("w:" + text)
+    if text == bare or not _lettered(text) or seen >= 5 and seen > 0.3 * n:
+        return None
+    ratio = lex.letters(text) - lex.letters(bare) + (4.0 if n >= 5 and n >= 10 * (seen + 1) else 0.0) + (2.0 if not _lettered(bare) else 0.0) - 3.0
+    if text != text.lower() and text[1:] != text[1:].lower() and bare[1:] == bare[1:].lower():
+        ratio -= 4.0
+    k = word.index(bare)
+    return min(ratio, SURE), word[:k] + text + word[k + len(bare) :]
+
+
+def repair_by(value: str, chains: dict[str, float], lex: Sketch, memo: dict) -> str:
+    """A damaged value with each word as it was before the chain that explains it best, by the chains' posteriors in the value.
+
+    A chain of little or no posterior counts with the prior of any chain, for parts of a value may
+    be damaged in another way; what no chain explains better than clean text stays.
+    """
+    weight = {c: math.log(max(p, START_PRIOR)) for c, p in chains.items() if c != LOST}
+    known = tuple(sorted(weight))
+
+    def word_before(w: str) -> str:
+        got = memo.get((w, known))
+        if got is None:
+            if len(memo) > 200_000:
+                memo.clear()
+            got = memo[(w, known)] = [(c, *u) for c in known if c.split(">")[0] not in EAST_ASIAN and (u := under_chain(w, c, lex)) is not None]
+        fit = [(llr + weight[c] + lex.letters(before), before) for c, llr, before in got if llr + weight[c] > 0]
+        return max(fit)[1] if fit else w
+
+    lines = []
+    for line in value.split("\n"):
+        v = judge_line(line) if not line.isascii() else None
+        lines.append(v[2] if v is not None and v[0] in weight else _URL_OR_TOKEN.sub(lambda m: m[0] if m[0].isascii() or "://" in m[0] else word_before(m[0]), line))
+    return "\n".join(lines)
+
+
 def repair_value(value: str, lex: Sketch, memo: dict) -> str:
     """The value with each damaged word replaced by what it was before its chain."""
     lines = []

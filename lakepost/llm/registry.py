@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakepost.llm.language import assign_languages, labelled_texts
 from lakepost.llm.mixing import mix_sources, mixture_shares
-from lakepost.llm.mojibake import damaged_values
+from lakepost.llm.mojibake import damaged_values, repaired_values
 from lakepost.llm.pii import personal_data, redact
 from lakepost.llm.replies import new_text, old_text
 from lakepost.llm.scans import scan_defects, scan_paragraphs
@@ -35,6 +35,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_values(table(spark, sf_dir, "mails")).select("entry_id", "field")
 
 
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_values(table(spark, sf_dir, "mails"))
+
+
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = labelled_texts(table(spark, sf_dir, "lang_labels"), table(spark, sf_dir, "mails"), table(spark, sf_dir, "content_segments"))
     return assign_languages(items, table(spark, sf_dir, "documents")).distinct()
@@ -75,5 +79,5 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_sentences": p10_sentences, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p10_found": p10_found, "p10_sentences": p10_sentences, "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p3_repaired": p3_repaired, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -105,6 +105,27 @@ def test_damaged_values_table(spark):
     assert ("x", "body") in got and not any(k.startswith("k") or k == "e" for k, _ in got)
 
 
+def test_repair_follows_the_posteriors():
+    lex = _sketch(CLEAN)
+    chain = {"cp1250>cp1252": 0.99}
+    assert mojibake.repair_by("„us³ugi” the https://x.example/a file", chain, lex, {}) == "„usługi” the https://x.example/a file"
+    assert mojibake.repair_by("us³ugi fÃ¼r", {"cp1250>cp1252": 0.99, "utf-8>cp1252": 1e-9}, lex, {}) == "usługi für"
+    assert mojibake.judge_word("fĂźr", lex)[2] == "für"
+    assert mojibake.repair_by("has�o", {mojibake.LOST: 1.0}, lex, {}) == "has�o"
+    # a weak word follows the chain known for the value; without that chain it stays
+    weak = "wiadomoœci"
+    assert mojibake.repair_by(weak, chain, lex, {}) == "wiadomości" and mojibake.repair_by(weak, {"koi8-r>cp1252": 0.99}, lex, {}) == weak
+
+
+def test_repaired_values_table(spark):
+    ok = [(f"k{i}", "s", "Żądanie usługi", "hasło wygasło, żądanie części", "Łucja") for i in range(60)]
+    bad = [("x", "s", "Żądanie", "„Å»Ä…danie” czÄ™Å›ci\nhasło", None), ("x", "s", "Żądanie", "„Å»Ä…danie” czÄ™Å›ci\nhasło", None), ("e", "s", "", None, None)]
+    m = spark.createDataFrame(ok + bad, "entry_id string, store_id string, subject string, body string, sender_name string")
+    got = {r["entry_id"]: tuple(r)[1:] for r in mojibake.repaired_values(m).collect()}
+    assert len(got) == 62 and got["x"] == ("Żądanie", "„Żądanie” części\nhasło", None) and got["e"] == ("", None, None)
+    assert all(got[k[0]] == k[2:] for k in ok)
+
+
 # 2: new text
 def lines_of(body, sender=""):
     return [x for x, o in zip(body.split("\n"), replies.old_lines(body, sender)) if x.strip() and not o]
