@@ -260,6 +260,37 @@ def _depths(block: str) -> list[bool]:
     return inside
 
 
+def decode(block: str, places: list[tuple[int, float]]) -> list[int]:
+    """The boundaries of highest total odds, by Viterbi; a unit of less than four characters costs two.
+
+    The state after a place is where the last boundary is.  A unit is short or not by that place
+    alone, so of boundaries more than a short unit behind only the best history is kept.
+    """
+    scores = [0.0]  # of the best histories with the last boundary at the start or at places[i - 1]
+    back = [0]
+    far, live = None, [0]  # best history of far boundaries; near ones, which may still make a unit short
+    where = [0, *(p for p, _ in places)]
+    for i, (p, odds) in enumerate(places):
+        near = []
+        for k in live:
+            if len(block[where[k] : p].strip()) >= 4:
+                if far is None or scores[k] > scores[far]:
+                    far = k
+            else:
+                near.append(k)
+        live = near
+        score, k = max([(scores[k] - 2.0, -k) for k in live] + ([(scores[far], -far)] if far is not None else []))
+        scores.append(score + odds if odds > -20 else -1e9)
+        back.append(-k)
+        live.append(i + 1)
+    k = max(range(len(scores)), key=lambda j: (scores[j], -j))
+    out = []
+    while k:
+        out.append(where[k])
+        k = back[k]
+    return out[::-1]
+
+
 def block_ends(block: str, model: Boundaries) -> list[int]:
     """Ends of the units of one block."""
     urls = [m.span() for m in _URL.finditer(block)] if "/" in block or "@" in block else []
@@ -286,25 +317,7 @@ def block_ends(block: str, model: Boundaries) -> list[int]:
         places.sort()
     end = len(block.rstrip())
     places = [(p, o) for p, o in places if p < end]
-    # Viterbi over boundary (1) and inside (0)
-    best = [(0.0, []), (-1e9, [])]
-    last = [0, 0]
-    for p, o in places:
-        stay = max(best, key=lambda x: x[0])
-        k = 0 if best[0][0] >= best[1][0] else 1
-        piece = block[last[1] if k else last[0] : p]
-        short = -2.0 if len(piece.strip()) < 4 else 0.0
-        cut = (stay[0] + o + short, [*stay[1], p])
-        anchor = last[1] if k else last[0]
-        best = [stay, cut] if o > -20 else [stay, (-1e9, [])]
-        last = [anchor, p]
-        # keep one history: ties stay inside
-        if best[1][0] > best[0][0]:
-            best = [(best[1][0], best[1][1]), (-1e9, [])]
-            last = [p, p]
-        else:
-            best = [best[0], (-1e9, [])]
-    return [*best[0][1], end]
+    return [*decode(block, places), end]
 
 
 def sentence_ends(text: str | None, model: Boundaries) -> list[int]:

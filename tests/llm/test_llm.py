@@ -260,6 +260,25 @@ def test_sentences(text, expected):
     assert units(text) == expected
 
 
+def test_boundaries_are_decoded_exactly():
+    from itertools import combinations
+
+    rnd = random.Random(7)
+    assert sentences.decode("x" * 40, [(20, 0.5), (23, 2.0)]) == [23] and sentences.decode("x" * 40, [(10, 0.3), (13, 3.0)]) == [13]
+    for _ in range(300):
+        block = "".join(rnd.choice("abc  ") for _ in range(30)).strip()
+        places = [(p, rnd.uniform(-3, 3)) for p in sorted(rnd.sample(range(1, len(block)), 7))]
+
+        def total(chosen):
+            ends = [0, *(p for p, _ in chosen)]
+            return sum(o for _, o in chosen) - 2.0 * sum(len(block[a:b].strip()) < 4 for a, b in zip(ends, ends[1:]))
+
+        best = max(total(c) for n in range(8) for c in combinations(places, n))
+        got = sentences.decode(block, places)
+        assert total([x for x in places if x[0] in got]) == pytest.approx(best)
+    assert sentences.decode("abc", []) == []
+
+
 @needs_data
 def test_sentence_places(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
