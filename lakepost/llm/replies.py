@@ -270,13 +270,18 @@ def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
     """(entry_id, line_no) of the non-blank lines of body that aren't newly written by the sender."""
     zones = stores.groupBy("store_id").agg(F.max("zone_name").alias("zone_name"), F.max("date_order").alias("date_order"))
     to_us = utc_micros()
-    rows = mails.select("entry_id", "store_id", "conversation_id", "sender_name", "body", "sent", "received").filter("entry_id IS NOT NULL AND length(body) > 0").dropDuplicates(["entry_id"])
-    timed = rows.join(zones, "store_id", "left").withColumn("t", F.coalesce(to_us(F.coalesce(F.nullif("sent", F.lit("")), F.col("received")), F.col("zone_name"), F.col("date_order")), F.lit(0).cast("long")))
+    harvested = F.col("harvested_at") if "harvested_at" in mails.columns else F.lit(None).cast("string")
+    once = ["store_id", "conversation_id", "sender_name", "body", "sent", "received"]
+    rows = mails.select("entry_id", *once, harvested.alias("harvested_at")).filter("entry_id IS NOT NULL AND length(body) > 0").groupBy("entry_id").agg(*[F.first(c).alias(c) for c in once], F.min("harvested_at").alias("harvested_at"))
+    sent, received, harvested = (F.coalesce(to_us(c, "zone_name", "date_order"), F.lit(0).cast("long")) for c in ("sent", "received", "harvested_at"))
+    own = F.when(sent > 0, sent).otherwise(received)
+    # a mail may be harvested weeks late: that time dates its text for later mails, but doesn't make it later than others
+    timed = rows.join(zones, "store_id", "left").withColumn("t", own).withColumn("by", F.when(own > 0, own).otherwise(harvested))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for e, c, s, b, t in zip(pdf["entry_id"], pdf["conversation_id"], pdf["sender_name"], pdf["body"], pdf["t"]):
+            for e, c, s, b, t, by in zip(pdf["entry_id"], pdf["conversation_id"], pdf["sender_name"], pdf["body"], pdf["t"], pdf["by"]):
                 old = old_lines(b, s or "")
                 told, asked = [], []
                 if c:
@@ -285,13 +290,13 @@ def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
                         told += pairs
                         if pairs and not all(old[k] for k in range(first, last)):
                             asked.append({"first": first, "last": last, "pairs": pairs})
-                out.append((e, c, t, [i + 1 for i, x in enumerate(old) if x], list(set(told)), asked, [i + 1 for i, x in enumerate(b.replace("\r", "").split("\n")) if x.strip()]))
-            yield pd.DataFrame(out, columns=["entry_id", "conversation_id", "t", "old", "told", "asked", "lines"])
+                out.append((e, c, t, by, [i + 1 for i, x in enumerate(old) if x], list(set(told)), asked, [i + 1 for i, x in enumerate(b.replace("\r", "").split("\n")) if x.strip()]))
+            yield pd.DataFrame(out, columns=["entry_id", "conversation_id", "t", "by", "old", "told", "asked", "lines"])
 
-    schema = "entry_id string, conversation_id string, t long, old array<int>, told array<long>, asked array<struct<first: int, last: int, pairs: array<long>>>, lines array<int>"
-    parsed = cut(timed.select("entry_id", "conversation_id", "sender_name", "body", "t").mapInPandas(scan, schema))
+    schema = "entry_id string, conversation_id string, t long, by long, old array<int>, told array<long>, asked array<struct<first: int, last: int, pairs: array<long>>>, lines array<int>"
+    parsed = cut(timed.select("entry_id", "conversation_id", "sender_name", "body", "t", "by").mapInPandas(scan, schema))
     marked = parsed.select("entry_id", F.explode("old").alias("line_no"))
-    told = parsed.filter("length(conversation_id) > 0 AND t > 0").select("conversation_id", "t", F.explode("told").alias("pair")).groupBy("conversation_id", "pair").agg(F.min("t").alias("since"))
+    told = parsed.filter("length(conversation_id) > 0 AND by > 0").select("conversation_id", "by", F.explode("told").alias("pair")).groupBy("conversation_id", "pair").agg(F.min("by").alias("since"))
     asked = parsed.filter("length(conversation_id) > 0 AND t > 0 AND size(asked) > 0").select("entry_id", "conversation_id", "t", F.explode("asked").alias("a")).select("entry_id", "conversation_id", "t", "a.first", "a.last", F.size("a.pairs").alias("n"), F.explode("a.pairs").alias("pair"))
     held = asked.join(told, ["conversation_id", "pair"]).filter("since < t - 900000000")
     pasted = held.groupBy("entry_id", "first", "last", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("entry_id", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("line_no"))

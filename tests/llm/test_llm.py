@@ -148,6 +148,19 @@ def test_pasted_without_marks(spark):
     assert got == [("b", 3)]
 
 
+def test_meaningless_sent_falls_back_to_received(spark):
+    para = "The first sentence of it is long. The second sentence follows it."
+    schema = "entry_id string, store_id string, conversation_id string, sender_name string, body string, sent string, received string, harvested_at string"
+    pasted = f"Something new here. And more of it.\n\n{para}\n"
+    rows = [("a", "s", "c", "A", f"Hi,\n\n{para}\n", "n/a", "2024-01-01 10:00:00", None), ("b", "s", "c", "B", pasted, "unknown", "2024-01-02 10:00:00", "2024-03-01 10:00:00")]
+    late = [("h", "s", "d", "A", f"Hi,\n\n{para}\n", "", "-1", "2024-02-01 10:00:00"), ("i", "s", "d", "B", pasted, "2024-01-15 10:00:00", None, None), ("j", "s", "d", "B", pasted, "2024-02-02 10:00:00", None, None)]
+    rows += late
+    stores = spark.createDataFrame([("s", "Europe/Warsaw", "dmy")], "store_id string, zone_name string, date_order string")
+    assert sorted((r[0], r[1]) for r in replies.old_text(spark.createDataFrame(rows, schema), stores).collect() if r[0] != "j") == [("b", 3)]
+    only = spark.createDataFrame([late[0], late[2]], schema)
+    assert sorted((r[0], r[1]) for r in replies.old_text(only, stores).collect()) == [("j", 3)]
+
+
 # 6: personal data
 def _names():
     import numpy as np
