@@ -33,6 +33,8 @@ EAST_ASIAN = ["shift_jis", "euc_jp", "gb18030", "euc_kr"]
 LOST = "lost"
 START_PRIOR = 0.01
 SURE = 12.0
+#: Longer tokens are judged in pieces, which share so many characters.
+LONG, OVERLAP = 2000, 50
 _EDGE = "„“”‘’‚«»‹›–—…¿¡。、！？「」（）：・?’'"
 #: Characters that a word of one or two damaged letters may have had.
 _PLAIN = re.compile("[ -~\xa0-\u017f\u0218-\u021b\u0370-\u045f\u0490\u0491\u2000-\u206f\u20ac\u2116\u2122\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\ufffd]*")
@@ -48,6 +50,11 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(_URL.sub(" ", text) if "://" in text else text)
 
 
+def pieces(token: str) -> list[str]:
+    """A token, or where it is long the overlapping pieces it is judged by."""
+    return [token] if len(token) <= LONG else [token[i : i + LONG] for i in range(0, len(token) - OVERLAP, LONG - OVERLAP)]
+
+
 @lru_cache(maxsize=32)
 def _bytes_of(charset: str) -> dict[str, int]:
     """Character -> byte of a charset; bytes without a character stand for the C1 control."""
@@ -162,8 +169,6 @@ def judge_word(word: str, lex: Sketch) -> tuple[str, float, str] | None:
     if dropped > 20 * (seen + 1):
         cand = (LOST, 6.0, word)
         best = cand if best is None or best[1] < 6.0 else best
-    if seen >= 200 and _lettered(bare):
-        return best
     symbol = not _lettered(bare)
     if len(bare) < 2:
         return best
@@ -241,12 +246,12 @@ def judge_line(line: str) -> tuple[str, float, str] | None:
 def judge_value(value: str, lex: Sketch, memo: dict) -> dict[str, tuple[float, int]]:
     """Log likelihood ratio of each chain over the words of a value."""
     found: dict[str, float] = {}
-    for word in set(tokens(value)):
+    for word in {p for t in tokens(value) for p in pieces(t)}:
         verdict = memo.get(word, 0)
         if verdict == 0:
             if len(memo) > 400_000:
                 memo.clear()
-            verdict = memo[word] = judge_word(word, lex) if len(word) <= 2000 else None
+            verdict = memo[word] = judge_word(word, lex)
         if verdict is not None:
             found[verdict[0]] = found.get(verdict[0], 0.0) + verdict[1]
     if not value.isascii():
@@ -415,7 +420,7 @@ def repair_value(value: str, lex: Sketch, memo: dict) -> str:
         def fix(m: re.Match) -> str:
             w = m[0]
             if w not in memo:
-                memo[w] = judge_word(w, lex) if len(w) <= 2000 else None
+                memo[w] = judge_word(w, lex)
             got = memo[w]
             return got[2] if got is not None and got[0] != LOST else w
 

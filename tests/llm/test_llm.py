@@ -105,6 +105,15 @@ def test_damaged_values_table(spark):
     assert ("x", "body") in got and not any(k.startswith("k") or k == "e" for k, _ in got)
 
 
+def test_common_damaged_words_and_long_tokens():
+    lex = _sketch({w: n * 100 for w, n in {**{w: 500 for w in CLEAN}, "wiadomości": 5000, "wiadomoœci": 3}.items()})
+    assert mojibake.judge_word("wiadomoœci", lex)[2] == "wiadomości" and all(mojibake.judge_word(w, lex) is None for w in CLEAN)
+    assert any(c.startswith("utf-8>") for c in mojibake.judge_value("x" * 2500 + "fÃ¼rÃ¼Ã¼" + "x" * 900, _sketch(CLEAN), {}))
+    token = "".join(chr(97 + i % 26) for i in range(7003))
+    got = mojibake.pieces(token)
+    assert got[0] == token[:2000] and all(a[-50:] == b[:50] for a, b in zip(got, got[1:])) and got[0] + "".join(p[50:] for p in got[1:]) == token
+
+
 def test_repair_follows_the_posteriors():
     lex = _sketch(CLEAN)
     chain = {"cp1250>cp1252": 0.99}
