@@ -6,7 +6,7 @@ notices); what stands below the sender's closing block is no new text, postscrip
 Earlier text without any mark is found by patterns of the thread: pairs of neighbouring
 sentences of all earlier messages of the conversation are kept as a distributed table
 (conversation, pair) -> earliest instant, against which the paragraphs of later messages are
-scanned; matched intervals are merged to whole paragraphs and subtracted.  The table stands in
+scanned; a paragraph all of whose pairs match is earlier text.  The table stands in
 for one automaton per thread, for a thread may hold a third of all mails: its key spreads such
 a thread over all tasks.
 
