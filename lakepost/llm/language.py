@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepost.llm.mojibake import _utf8_chain
-from lakepost.llm.replies import _CLOSING, _DEVICE, _FROM, _HEAD, _RULE, _SEPARATOR, _WROTE, _notice, strip_quote
+from lakepost.llm.furniture import _CLOSING, _DEVICE, _FROM, _HEAD, _RULE, _SEPARATOR, _WROTE, _notice, strip_quote
 from lakepost.session import cut
 
 LANGUAGES = ["pl", "en", "de", "fr", "es", "pt", "it", "cs", "nl", "sv", "uk", "ru", "ja"]

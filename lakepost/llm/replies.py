@@ -1,18 +1,26 @@
 """Newly written text of mails: find quoted history, signatures and notices.
 
-A mail's lines are scanned once for marks (quote prefixes, lines that introduce a quotation,
-header blocks of forwarded mails, closing formulas, signature delimiters, device lines and
-notices); what stands below the sender's closing block is no new text, postscripts excepted.
-Earlier text without any mark is found by patterns of the thread: pairs of neighbouring
-sentences of all earlier messages of the conversation are kept as a distributed table
-(conversation, pair) -> earliest instant, against which the paragraphs of later messages are
-scanned; a paragraph all of whose pairs match is earlier text.  The table stands in
-for one automaton per thread, for a thread may hold a third of all mails: its key spreads such
-a thread over all tasks.
-
-Defined cases: null and empty bodies have no lines; a mail without conversation is judged by its
-marks alone; a copy of a message (same pairs, same instant) is no earlier message; repeated rows
-count once; texts are read whole.
+Everything earlier is a pattern, and a mail is what is left when the intervals of its patterns are
+merged and subtracted:
+
+* sentences of all earlier messages of the thread.  The automaton of a thread is kept as a
+  distributed transition table (conversation, sentence) -> earliest instant and teller, for one
+  thread may hold a third of all mails: its key spreads such a thread over all tasks.  A mail's
+  sentences are scanned through it; neighbouring hits make an interval, which counts if its
+  sentences aren't such as meet by chance: the product of their shares among all threads (and
+  among the messages of the thread) must be at most ``CHANCE``.
+* closing blocks.  Lines that stand before the sender's own name (closing formulas), lines that
+  stand below a closing (device lines, notices) and banners above all text are learned from
+  the whole corpus by their rates, with the lower bound of the rate at its number of cases;
+  lines of one sender that only stand below that sender's closings are learned for the sender.
+* marks that need no words: quote prefixes, separators, header blocks, lines that introduce a
+  quotation.  Which words end an introduction and which keys begin a header block is learned as well.
+
+Defined cases: null and empty bodies have no lines; a mail without conversation is judged without
+thread; copies of a message (same instant but for a notation without seconds, same sender) are no
+earlier message, nor is anything that isn't told before; a mail without any readable instant
+neither gives nor takes sentences; of repeated rows with one entry_id the least by all columns
+counts; texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 import xxhash
@@ -30,295 +38,479 @@ from pyspark.sql import functions as F
 from lakepost.functions.timestamps import utc_micros
 from lakepost.session import cut
 
+#: Chance that a matched interval was written anew all the same.
+CHANCE = 0.01
+#: Copies of one message differ in time by no more (notations without seconds, harvest of two stores).
+COPY_US = 180_000_000
+#: Lower bound of the rate (at 95 %) from which a line is a closing line.
+RATE = 0.5
+Z = 1.64
+
+_MARKED = regex.compile(r"^[ \t]*(?:[\p{Lu}\p{Lo}]{0,3}>|[|»>](?!.*[^|\s].*\|[ \t]*$))")
 _QUOTE = regex.compile(r"^[ \t]*(?:\p{L}{0,3}[>|»][ \t]?)+")
-_MARKED = regex.compile(r"^[ \t]*(?:[\p{Lu}\p{Lo}]{0,3}>|[|»>])")
-# Verbs of lines that introduce a quotation.
-_WROTE = regex.compile(r"(?i)\b(wrote|writes|pisze|napisa\S*|schrieb|schreibt|a ?écrit|ecrit|escribió|escribi\S*|escreveu|ha scritto|scrive|napsal\S*|píše|schreef|schrijft|skrev|skriver|пишет|написал\S*|писал\S*|пише|написав\S*|писав\S*)\b|\p{L}*crit\b ?:|のメール|書きました|wrote:|さんは|:$")
-_DATE = regex.compile(r"\d{4}|\d{1,2}[./]\d{1,2}|\d{1,2}:\d{2}")
-_SEPARATOR = regex.compile(r"^[ \t>|*_]*[-–—_=]{3,}[ \t]*\S.*?[-–—_=]{3,}[ \t*]*$|^[ \t]*(?:Begin forwarded message|Początek przekazanej|Anfang der weitergeleiteten|Début du message|Inizio messaggio)")
-# Names of header lines in forwarded mails.
-_HEADS = "From|Sent|To|Cc|Subject|Date|Od|Wysłano|Data|Do|DW|UDW|Temat|Von|Gesendet|An|Betreff|Datum|De|Envoyé|À|A|Objet|Date|Enviado|Enviada|Para|Asunto|Assunto|CC|Da|Inviato|Oggetto|Odesláno|Komu|Kopie|Předmět|Van|Verzonden|Aan|Onderwerp|Från|Skickat|Till|Ämne|От|Отправлено|Кому|Тема|Дата|Копия|Від|Надіслано|Копія|差出人|送信日時|宛先|件名|日時|送信者"
-_HEAD = regex.compile(rf"^[ \t*_]*(?:{_HEADS}|\p{{L}}[\p{{L}}\p{{P}}\p{{S}}\x80-\xff]{{1,14}})[ \t]?[*_]*[:：][*_]*[ \t]*\S")
-_FROM = regex.compile(r"^[ \t*_]*(?:From|Od|Von|De|Da|Van|Från|От|Від|差出人|送信者|Expéditeur|Remetente|Mittente)[ \t]?[*_]*[:：][*_]*[ \t]*\S")
-# Closing formulas, by their first words.
-_CLOSING = regex.compile(
-    r"(?i)^[ \t]*(?:(?:z |łączę |serdeczn|pozdraw|z poważaniem|z wyrazami|z uszanowaniem|dziękuję i pozdrawiam|miłego dnia|best|kind|warm|many thanks$|many thanks,|thanks,?$|thank you,?$|regards|yours|sincerely|cheers|cordially|mit (?:freundlich|best|herzlich|lieb)|freundliche|viele gr|beste gr|schöne gr|liebe gr|herzliche gr|hochachtungs|mfg|cordialement|bien (?:à|cordialement)|sincères|salutations|meilleures|bonne (?:journée|réception)|amicalement|respectueusement|veuillez agréer"
-    r"|atentamente|saludos|un (?:cordial )?saludo|un abrazo|cordialmente|muy atentamente|reciba|atenciosamente|com os melhores|melhores cumprimentos|cumprimentos|um abraço|obrigad[oa],?$|cordiali|distinti|un saluto|cari saluti|saluti|a presto|s (?:pozdravem|úctou|přáním)|hezký (?:den|zbytek)|děkuji,?$|zdraví|met (?:vriendelijke|hartelijke|beste)|vriendelijke|hartelijke gr|groet|hoogachtend|vänlig|med vänlig|hälsning|bästa hälsning|mvh|hej då|tack,?$"
-    r"|с уважением|искренне|с наилучшими|всего (?:доброго|хорошего)|спасибо,?$|до свидания|з повагою|щиро|з найкращими|гарного дня|дякую,?$|всього найкращого|以上|よろしくお願い|敬具|草々|何卒)[^.?!。]{0,40}[,.!。]{0,2}[ \t]*$)"
-)
-# Lines that a device adds.
-_DEVICE = regex.compile(
-    r"(?i)^[ \t]*(?:sent from|sent with|get outlook|wysłan[oae] (?:z|przez|za)|wysłane|von meine|gesendet (?:von|mit)|envoyé (?:de|depuis|à partir)|enviado (?:desde|do|a partir|de|pelo|com)|enviada|inviato (?:da|dal|con)|odesláno (?:z|ze)|posláno|verzonden (?:vanaf|met|van)|verstuurd|skickat från|skickat|отправлено (?:с|из)|отправлено|надіслано (?:з|із)|надіслано|iphoneから|携帯電話から|スマートフォンから|私の|.*から送信)[^.?!:]{0,60}\.?[ \t]*$"
-)
-# Words of legal, automatic and external-mail notices.
-_NOTICE = regex.compile(
-    r"(?i)\[?external\]?\b|\[extern|outside (?:the|your) organi[sz]ation|confidential|intended (?:only|solely|recipient)|received (?:it|this).{0,30}in error|delete it|notify the sender|think before you print|consider the environment|automated message|unattended mailbox|do not reply|automatic(?:ally)? (?:message|generated)|this (?:e-?mail|message) (?:may|is|was|and|has)"
-    r"|poufn|wyłącznie dla adresat|omyłkowo|omyłkow|spoza organizacji|nie otwieraj|czy wydruk|wydruk.{0,20}konieczn|wiadomość automatyczn|automatyczn\S+ wiadomo|nie odpowiada\S* na|prosimy o rozważenie|usunięcie i powiadom|(?:ta|niniejsza) wiadomość"
-    r"|vertraulich|ausschließlich für|irrtümlich|automatisch (?:erstellt|generiert|erzeugt)|diese (?:e-?mail|nachricht)|externe (?:e-?mail|nachricht)|vor dem (?:aus)?druck|nicht auf diese|absender außerhalb"
-    r"|confidentiel|par erreur|destinataire|ce (?:message|courriel)|message automatique|ne pas répondre|avant d.imprimer|extérieur de l|este (?:mensaje|correo|e-mail|mensagem)|esta mensagem|confidencial|por error|por engano|únicamente|unicamente|destinatari|mensaje automático|mensagem automática|no responda|não responda|antes de imprimir|externo a la|fora da organização"
-    r"|riservat|questo messaggio|per errore|messaggio automatico|non rispondere|prima di stampare|esterno all|důvěrn|tato zpráva|tento e-mail|omylem|automatick|neodpovídejte|před vytištěním|mimo organizaci|vertrouwelijk|dit bericht|deze e-?mail|uitsluitend bestemd|per vergissing|automatisch bericht|niet beantwoorden|buiten de organisatie"
-    r"|konfidentiell|detta (?:meddelande|mejl|e-)|av misstag|automatiskt|svara inte|utanför organisationen|innan du skriver ut|конфиденциальн|это (?:письмо|сообщение)|по ошибке|автоматическ|не отвечайте|извне организации|перед печатью|конфіденційн|(?:цей лист|це повідомлення)|помилково|помилков|автоматичн|не відповідайте|ззовні організації|за межами"
-    r"|機密|本メール|このメール|誤って|自動送信|自動配信|返信しない|社外|組織外|印刷する前"
-)
+_LONE = re.compile(r"[ \t]*>[ ]?\d")
 _RULE = re.compile(r"^[ \t]*(?:[-_=*~#–—+.·•]{2,}|-- ?)[ \t]*$")
-_PS = regex.compile(r"(?i)^[ \t]*(?:p\.? ?s\.?|ps|пс|p\.p\.s|追伸)(?:[ .:：,–-]|$)")
-_SENTENCE = re.compile(r"[^.!?。！？…]+[.!?。！？…]+|[^.!?。！？…]+$")
+_SEPARATOR = regex.compile(r"^[ \t>|*_]*[-–—_=]{3,}[ \t]*\p{L}.*?[-–—_=]{3,}[ \t*]*$")
+_HEAD = regex.compile(r"^[ \t*_]*(\p{L}[^:：]{0,24}?)[ \t\xa0]?[*_]*[:：][*_]*[ \t]*\S")
+_ADDRESS = re.compile(r"\S@\S|\[mailto:")
+_DATE = re.compile(r"\d{4}|\d{1,2}[./]\d{1,2}|\d{1,2}:\d{2}")
+_CONTACT = regex.compile(r"@|\d{2,}[ \-./]\d{2,}|^\s*\p{L}{1,6}[.:]\s*[+(\d]|\p{L} [|–,] \p{Lu}|^[\p{L}. ]{3,40} \d{1,4}\w?$")
+_POSTSCRIPT = regex.compile(r"(?i)^[ \t]*(?:p\.? ?s\.?|ps|пс|п\.с\.|p\.p\.s|追伸)(?:[ .:：,–-]|$)")
+_SENTENCE = re.compile(r"[^.!?。！？…]+(?:[.!?。！？…]+|$)|[.!?。！？…]+")
 _NONWORD = re.compile(r"\W+")
-_NAME = regex.compile(r"[\p{Lu}\p{Lo}][\p{L}\p{M}’'\-?�]+(?: (?:\p{Lu}\. )?[\p{Lu}\p{Lo}][\p{L}\p{M}’'\-?�]+){0,2}")
-_CONTACT = regex.compile(r"@|\d{3}[ \-.]\d{2,3}|^\s*(?:T|E|tel|mob|e-mail)\b|\p{L} [|–,] \p{Lu}")
-_DAYS = re.compile(r"[ \t]*>[ ]?\d+ [^\W\d_A-ZÀ-Þ]")
-_INTRO = regex.compile(r"(?i)[\s]*(?:on|w dniu|dnia|am|le|el|em|il|dne|op|den|\d|\p{Lu})")
-_SAYS = regex.compile(r"(?i)(wrote|pisze|napisa|schrieb|crit|escribi|escreveu|ha scritto|napsal|schreef|skrev|пишет|написал|писал|пише|написав|писав|書き)\S*\s*(?:\(a\))?[^.]{0,60}[:：]$")
-_ADDRESSED = re.compile(r"(?:<\S+@\S+>|\[mailto:\S+\])\s*$")
-_LETTERS = re.compile(r"[^\W\d_]{3}")
+_SKELETON = re.compile(r"[^A-Za-z0-9]+")
+_LETTERS = re.compile(r"[^A-Za-z]+")
+_CASED = regex.compile(r"[\p{Lu}\p{Ll}]")
+_ENDS = (".", "]", ")", "*")
 
+#: What is known of a line from its place.
+QUOTED, RULE, NAME, CONTACT, MARKED, FIRST, SAYS, HEAD, INTRO, POSTSCRIPT = (1 << i for i in range(10))
+#: What is seen of a line for learning: it stands before a name, below a closing, above all text, or is sure.
+BEFORE, BELOW, ABOVE, SURE = 1, 2, 4, 8
+#: What a learned line is.
+FORMULA, AFTER, BANNER, WORD = 1, 2, 4, 8
 
-# Pieces of words one of which every notice holds.
-_NOTICE_PIECES = (
-    "extern|outside|confidential|intended|received|delete|notify|think before|consider|automat|unattended|reply|this mess|this mail|this e-|this email|poufn|adresat|omyłk|spoza|nie otwieraj|wydruk|nie odpowiada|prosimy o|usunięcie|wiadomość|vertraulich|ausschlie|irrtüm|diese |druck|nicht auf|absender"
-    "|confidentiel|erreur|destinatai|ce message|ce courriel|répondre|imprimer|extérieur|este |esta |confidencial|error|engano|nicamente|destinatari|respond|imprimir|fora da|riservat|questo|errore|stampare|esterno|důvěrn|tato |tento |omylem|neodpov|vytiš|mimo |vertrouwelijk|dit bericht|deze |uitsluitend|vergissing|beantwoorden|buiten "
-    "|konfiden|detta |misstag|svara|utanför|skriver ut|конфиденц|это |ошибке|автомат|не отвечайте|извне|печатью|конфіденц|цей лист|це повідомлення|помилков|не відповідайте|ззовні|за межами|機密|本メール|このメール|誤って|自動|返信|社外|組織外|印刷"
-).split("|")
 
+def strip_quote(line: str) -> str:
+    return _QUOTE.sub("", line) if _MARKED.match(line) else line
 
-def _pieces():
-    a = ahocorasick.Automaton()
-    for x in _NOTICE_PIECES:
-        a.add_word(x, True)
-    a.make_automaton()
-    return a
 
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
-_PIECES = _pieces()
 
+def line_key(line: str) -> int:
+    """Key of a line that damage, digits and punctuation don't change: its ASCII letters, if it has enough of them."""
+    bare = _LETTERS.sub("", line)
+    return _key(bare.lower() if len(bare) >= 8 else re.sub(r"[\W\d]+", "", line).casefold() or line.strip())
 
-def _notice(line: str) -> bool:
-    """Whether a line speaks like a notice; the automaton spares most lines the patterns."""
-    return next(_PIECES.iter(line.lower()), None) is not None and _NOTICE.search(line) is not None
 
+def sentence_key(sentence: str) -> int | None:
+    """Key of a sentence; null for one of less than four letters and digits."""
+    bare = _SKELETON.sub("", sentence)
+    if len(bare) < 12:
+        bare = _NONWORD.sub("", sentence).casefold()
+        if len(bare) < 4:
+            return None
+    return _key(bare.lower())
 
-def strip_quote(line: str) -> str:
-    return _QUOTE.sub("", line) if _MARKED.match(line) else line
 
+def name_skeletons(sender: str) -> set[str]:
+    """Parts of a sender's name: their ASCII letters where there are any, so that damaged forms agree."""
+    return {_LETTERS.sub("", w).lower() or w.casefold() for w in re.split(r"[\s,]+", sender) if w} | ({sender.replace(" ", "")} if sender else set())
 
-def _name_line(line: str, sender: str) -> bool:
-    """Whether a line is nothing but a name that may sign a mail."""
-    t = line.strip().rstrip(",.")
-    if not t or len(t) > 45 or any(c.isdigit() for c in t):
+
+def is_own_name(line: str, parts: set[str]) -> bool:
+    """Whether a line is nothing but the sender's name or a part of it."""
+    t = line.strip().strip(",.-–— ")
+    if not t or len(t) > 60 or any(c.isdigit() for c in t) or not parts:
+        return False
+    words = t.split()
+    if len(words) > 4:
         return False
-    if sender and (t == sender or t == sender.split(" ")[0] or t in sender):
-        return True
-    return _NAME.fullmatch(t) is not None
+    known = [(_LETTERS.sub("", w).lower() or w.casefold()) in parts for w in words]
+    bare = t.replace(" ", "")
+    # names without spaces: a part of them is a name as well
+    return all(k or len(w.rstrip(".")) == 1 for k, w in zip(known, words)) and any(known) or len(bare) > 1 and not _CASED.search(bare) and any(bare in p for p in parts)
+
+
+def _intro_key(line: str) -> int:
+    """Key of the word that ends an introduction (``wrote:``)."""
+    t = line.rstrip().rstrip(":： ").split()
+    last = t[-1] if t else ""
+    return _key("i:" + (last[-5:] if not last.isascii() and len(last) > 12 else _LETTERS.sub("", last).lower() or last.casefold()))
 
 
-def old_lines(body: str, sender: str = "") -> list[bool]:
-    """For each line whether its marks or its place tell that it isn't newly written (blank lines: no)."""
-    lines = body.replace("\r", "").split("\n")
+def _lines_of_marks(lines: list[str], blank: list[bool]) -> list[int]:
+    """Flags of each line by marks alone."""
     n = len(lines)
-    old = [False] * n
-    blank = [not x.strip() for x in lines]
-    quoted = [bool(_MARKED.match(x)) for x in lines]
+    flags = [0] * n
+    quoted = [not b and (x[0] in ">|» \t" or ">" in x[:6]) and _MARKED.match(x) is not None for x, b in zip(lines, blank)]
     for i in range(n):
-        # a lone "> 30 days ..." is a comparison, no quotation
-        if quoted[i] and _DAYS.match(lines[i]) and not (i and quoted[i - 1]) and not (i + 1 < n and quoted[i + 1]):
-            quoted[i] = False
-        old[i] = quoted[i]
-    # wrapped ends of quoted lines: a short line without a prefix inside a quotation
+        if quoted[i] and _LONE.match(lines[i]) and not (i and quoted[i - 1]) and not (i + 1 < n and quoted[i + 1]):
+            quoted[i] = False  # a comparison, no quotation
+        if quoted[i]:
+            flags[i] = QUOTED | MARKED
+    # a short line between quoted ones is the wrapped end of one
     for i in range(1, n - 1):
-        if not quoted[i] and not blank[i] and quoted[i - 1] and quoted[i + 1] and len(lines[i].split()) <= 3 and len(lines[i]) < 30 and len(lines[i - 1]) > 50:
-            old[i] = True
-    # lines that introduce a quotation
+        if not quoted[i] and not blank[i] and quoted[i - 1] and quoted[i + 1] and len(lines[i]) < 30 and len(lines[i - 1]) > 50 and len(lines[i].split()) <= 3:
+            flags[i] = MARKED
     for i in range(n):
         if quoted[i] and (i == 0 or not quoted[i - 1]):
             j = i - 1
             while j >= 0 and blank[j]:
                 j -= 1
-            if j < 0 or i - j > 3 or quoted[j]:
+            if j < 0 or i - j > 3 or flags[j] or not lines[j].rstrip().endswith((":", "：")):
                 continue
-            t = lines[j].strip()
-            joined, top = t, j
-            if t.endswith((":", "：")):
-                for k in range(j, max(-1, j - 4), -1):
-                    if blank[k] or quoted[k]:
-                        break
-                    joined = " ".join(x.strip() for x in lines[k : j + 1])
-                    top = k
-                    if _DATE.search(joined) and _WROTE.search(joined) and _INTRO.match(lines[k]):
-                        if k > 0 and not blank[k - 1] and not quoted[k - 1] and not _DATE.search(lines[k]) and k - 1 > j - 4:
-                            continue
-                        break
-                if (_WROTE.search(joined) and (_DATE.search(joined) or "@" in joined)) or len(joined) < 90 and _WROTE.search(t):
-                    if top > 0 and not quoted[top - 1] and _ADDRESSED.search(lines[top - 1]) and len(lines[top - 1]) < 120:
-                        top -= 1
-                    for k in range(top, j + 1):
-                        old[k] = True
-    # forwarded and pasted messages with separators or header blocks: to the end
+            # up to the line that tells the time, within the paragraph
+            top = j
+            while top > 0 and j - top < 3 and not _DATE.search(lines[top]) and not blank[top - 1] and not flags[top - 1]:
+                top -= 1
+            if not _DATE.search(lines[top]):
+                top = j
+            joined = " ".join(lines[top : j + 1])
+            sure = _DATE.search(joined) is not None and (_ADDRESS.search(joined) is not None or len(joined) < 140)
+            for k in range(top, j + 1):
+                flags[k] |= (MARKED if sure else 0) | (INTRO if k == j else 0)
     for i in range(n):
-        if blank[i] or quoted[i]:
+        if blank[i] or quoted[i] or flags[i] & MARKED:
             continue
-        tail = None
-        if _SEPARATOR.match(lines[i]) and _LETTERS.search(lines[i]) and not _notice(lines[i]):
-            tail = i
-        elif _FROM.match(lines[i]):
-            heads = sum(1 for k in range(i, min(n, i + 6)) if not blank[k] and not quoted[k] and _HEAD.match(lines[k]) and len(lines[k]) < 160)
-            if heads >= 3:
-                tail = i
-                k = i - 1
-                while k >= 0 and blank[k]:
-                    k -= 1
-                if k >= 0 and _RULE.match(lines[k]) and k >= i - 2:
-                    tail = k
-        elif lines[i].rstrip().endswith((":", "：")) and _WROTE.search(lines[i]) and _DATE.search(lines[i] + (lines[i - 1] if i else "")) and _SAYS.search(lines[i]):
-            follows = next((k for k in range(i + 1, n) if not blank[k]), None)
-            if follows is not None and not quoted[follows] and not old[i]:
-                tail = i if _DATE.search(lines[i]) or i == 0 or blank[i - 1] else i - 1
-        if tail is not None:
-            for k in range(tail, n):
-                old[k] = True
+        line = lines[i]
+        nxt = next((k for k in range(i + 1, min(n, i + 4)) if not blank[k]), None)
+        head = None
+        if line.lstrip()[:1] in "-–—_=*" and _SEPARATOR.match(line) and nxt is not None and (_HEAD.match(lines[nxt]) or quoted[nxt]):
+            head = i
+        elif (":" in line or "：" in line) and len(line) < 160 and _HEAD.match(line):
+            more = 0
+            for k in range(i, min(n, i + 6)):
+                if blank[k] or quoted[k]:
+                    break
+                more += len(lines[k]) < 160 and _HEAD.match(lines[k]) is not None
+            if more >= 3:
+                up = next((k for k in range(i - 1, max(-1, i - 3), -1) if not blank[k]), None)
+                over = up is not None and (_RULE.match(lines[up]) is not None or lines[up].rstrip().endswith((":", "：")) and not _HEAD.match(lines[up]))
+                if _ADDRESS.search(line) and i and blank[i - 1] or over:
+                    head = up if over else i
+                flags[i] |= HEAD
+        if head is None and line.rstrip().endswith((":", "：")) and nxt is not None and not quoted[nxt]:
+            if _DATE.search(line) or (i and not blank[i - 1] and _DATE.search(lines[i - 1])):
+                flags[i] |= SAYS
+        if head is not None:
+            for k in range(head, n):
+                if not blank[k]:
+                    flags[k] |= MARKED
             break
-    # closing block, device lines and notices of the sender
-    first_closed = None
-    i = 0
-    while i < n:
-        if blank[i] or old[i]:
-            i += 1
-            continue
-        t = lines[i].strip()
-        following = next((k for k in range(i + 1, n) if not blank[k]), None)
-        rule = _RULE.match(lines[i]) is not None
-        closing = len(t) < 60 and _CLOSING.match(t) is not None
-        if _DEVICE.match(t):
-            old[i] = True
-            first_closed = i if first_closed is None else first_closed
-        elif rule:
-            old[i] = True
-            if following is not None and not old[following] and not _notice(lines[following]) and first_closed is None and i > 0:
-                first_closed = i
-            if following is not None and _notice(lines[following]) and not old[following]:
-                pass
-        elif closing and (following is None or old[following] or following > i + 1 or _RULE.match(lines[following]) or len(lines[following]) < 60 or _DEVICE.match(lines[following])):
-            old[i] = True
-            first_closed = i if first_closed is None else first_closed
-        elif _notice(t) and _is_notice(lines, i, n, blank, old, first_closed):
-            k = i
-            while k < n and not blank[k] and not quoted[k] and not (_RULE.match(lines[k]) and k > i and False):
-                old[k] = True
+    return flags
+
+
+class Parsed:
+    """What a mail's lines are by themselves: numbers, flags and keys of the lines, sentences with their pieces of lines."""
+
+    def __init__(self, body: str, sender: str) -> None:
+        lines = body.replace("\r", "").split("\n")
+        blank = [not x.strip() for x in lines]
+        marks = _lines_of_marks(lines, blank)
+        parts = name_skeletons(sender)
+        at = [i for i, b in enumerate(blank) if not b]
+        place = {i: k for k, i in enumerate(at)}
+        self.numbers = [i + 1 for i in at]
+        self.flags: list[int] = []
+        self.keys: list[int] = []
+        self.more: list[int] = []
+        self.sizes: list[int] = []
+        for i in at:
+            f, line = marks[i], lines[i]
+            more = 0
+            if i == 0 or blank[i - 1]:
+                f |= FIRST
+            if not f & QUOTED:
+                if _RULE.match(line):
+                    f |= RULE
+                elif is_own_name(line, parts):
+                    f |= NAME
+                if len(line) < 80 and _CONTACT.search(line):
+                    f |= CONTACT
+                if _POSTSCRIPT.match(line):
+                    f |= POSTSCRIPT
+                if f & (INTRO | SAYS):
+                    more = _intro_key(line)
+                elif f & HEAD:
+                    more = _key("k:" + _HEAD.match(line)[1].strip().casefold())
+            self.flags.append(f)
+            self.keys.append(0 if f & (QUOTED | RULE) else line_key(line))
+            self.more.append(more)
+            self.sizes.append(len(_NONWORD.sub("", line)))
+        self.told: set[int] = set()
+        self.own: list[int] = []  # sentences with unmarked lines, 0 between paragraphs
+        self.pieces: list[tuple[int, int, int]] = []  # (sentence in own, line, letters)
+        start = 0
+        while start < len(at):
+            end = start + 1
+            while end < len(at) and at[end] == at[end - 1] + 1:
+                end += 1
+            # a quotation and what stands around it are paragraphs of their own
+            for a, b in _split_runs(self.flags, start, end):
+                self._sentences(lines, at, a, b)
+            start = end
+        if not self.own:
+            self.told.discard(0)
+
+    def _sentences(self, lines: list[str], at: list[int], a: int, b: int) -> None:
+        texts = [strip_quote(lines[at[k]]).strip() for k in range(a, b)]
+        mine = not all(self.flags[k] & MARKED for k in range(a, b))
+        text = " ".join(texts)
+        ends, n = [], 0
+        for t in texts:
+            n += len(t) + 1
+            ends.append(n)
+        if mine and self.own:
+            self.own.append(0)
+        k = 0
+        for m in _SENTENCE.finditer(text):
+            key = sentence_key(m[0])
+            if key is None:
+                continue
+            self.told.add(key)
+            if not mine:
+                continue
+            s, e = m.span()
+            s += len(m[0]) - len(m[0].lstrip())
+            while ends[k] <= s:
                 k += 1
-            b = i - 1
-            while b >= 0 and not blank[b] and not old[b] and first_closed is not None:
-                old[b] = True
-                b -= 1
-            i = k
+            j, p = k, s
+            while p < e:
+                q = min(e, ends[j])
+                self.pieces.append((len(self.own), a + j, len(_NONWORD.sub("", text[p:q]))))
+                p, j = q, j + 1
+            self.own.append(key)
+
+    def seen(self) -> list[tuple[int, int]]:
+        """(key, what is seen of the line) of each unmarked line, and of the words of introductions and headers."""
+        out = []
+        mine = [k for k, f in enumerate(self.flags) if not f & MARKED]
+        texts = [k for k in mine if not self.flags[k] & RULE]
+        below, first = False, True
+        for j, k in enumerate(texts):
+            f = self.flags[k]
+            bits = 0
+            if j and self.flags[k - 1] & RULE:
+                below = True
+            nxt = texts[j + 1] if j + 1 < len(texts) else None
+            if nxt is not None and self.flags[nxt] & NAME and not f & NAME and (f | ~self.flags[nxt]) & FIRST:
+                bits |= BEFORE
+            if below and not f & POSTSCRIPT:
+                bits |= BELOW
+            if first and nxt is not None:
+                bits |= ABOVE
+            out.append((self.keys[k], bits))
+            if f & NAME and j:
+                below = True
+            first = False
+        for k, f in enumerate(self.flags):
+            if self.more[k]:
+                out.append((self.more[k], SURE if f & MARKED else 0))
+        return out
+
+
+def _split_runs(flags: list[int], start: int, end: int) -> Iterator[tuple[int, int]]:
+    a = start
+    for k in range(start + 1, end + 1):
+        if k == end or (flags[k] ^ flags[k - 1]) & QUOTED or (flags[k] | flags[k - 1]) & RULE:
+            yield a, k
+            a = k
+
+
+def closing_lines(p_flags: list[int], keys: list[int], more: list[int], known: dict[int, int], ends: list[bool]) -> list[bool]:
+    """For each line whether its marks or the closing block say that it isn't newly written; ``known`` are the learned lines."""
+    n = len(p_flags)
+    old = [bool(f & MARKED) for f in p_flags]
+    get = lambda k: known.get(keys[k], 0) if keys[k] else 0
+    for k in range(n):
+        f = p_flags[k]
+        if old[k] or not f & (SAYS | HEAD | INTRO) or not known.get(more[k], 0) & WORD:
+            continue
+        old[k] = True
+        if f & INTRO:
+            continue
+        if k and not f & FIRST and f & SAYS and not p_flags[k] & HEAD and not old[k - 1] and not p_flags[k - 1] & NAME:
+            old[k - 1] = True
+        if k and p_flags[k - 1] & RULE:
+            old[k - 1] = True
+        for j in range(k, n):
+            old[j] = True
+        break
+    mine = [k for k in range(n) if not old[k]]
+    closed = False
+    above = True
+    script = False
+    for j, k in enumerate(mine):
+        f = p_flags[k]
+        kind = get(k)
+        nxt = mine[j + 1] if j + 1 < len(mine) and mine[j + 1] == k + 1 else None  # what follows without a mark between
+        if f & FIRST:
+            script = False
+        if closed:
+            script = script or bool(f & POSTSCRIPT)
+            old[k] = not script or bool(kind & AFTER)
             continue
-        elif first_closed is None and _name_line(t, sender) and (following is None or old[following] or following > i + 1 and _after_name(lines, following, n) or _contact(lines[following])) and i > 0 and (blank[i - 1] or old[i - 1] or bool(sender) and t.rstrip(",.") in sender) and (following is None or not t.endswith((",", "!"))):
-            old[i] = True
-            first_closed = i
-        elif first_closed is not None:
-            if _PS.match(t):
-                while i < n and not blank[i] and not old[i] and not _DEVICE.match(lines[i]) and not _RULE.match(lines[i]):
-                    i += 1
+        if above and not f & RULE:
+            if kind & BANNER and ends[k]:
+                old[k] = True
                 continue
-            old[i] = True
-        i += 1
-    return [o and not b for o, b in zip(old, blank)]
-
-
-def _after_name(lines: list[str], k: int, n: int) -> bool:
-    t = lines[k]
-    return bool(_MARKED.match(t) or _PS.match(t) or _RULE.match(t) or _SEPARATOR.match(t) or _FROM.match(t) or _notice(t) or _DEVICE.match(t)) or k > 0
-
-
-def _contact(line: str) -> bool:
-    return _CONTACT.search(line) is not None
-
-
-def _is_notice(lines: list[str], i: int, n: int, blank: list[bool], old: list[bool], closed: int | None) -> bool:
-    """Notices stand at the edges of a mail: on top, or below all new text, or as a paragraph of their own after a rule."""
-    top = all(blank[k] or old[k] for k in range(i))
-    if top or closed is not None:
-        return True
-    k = i
-    while k < n and not blank[k]:
-        k += 1
-    starts = i == 0 or blank[i - 1] or old[i - 1]
-    rest = all(blank[q] or old[q] or _notice(lines[q]) or _RULE.match(lines[q]) or _DEVICE.match(lines[q]) for q in range(k, n))
-    return starts and rest
-
-
-def paragraphs(body: str) -> list[tuple[int, int, list[str]]]:
-    """(first line, line after the last, sentences) of each paragraph, quote prefixes taken off."""
-    out = []
-    lines = body.replace("\r", "").split("\n")
-    start, held = None, []
-    for i, line in enumerate([*lines, ""]):
-        t = strip_quote(line).strip()
-        if t:
-            start = i if start is None else start
-            held.append(t)
-        elif held:
-            text = " ".join(held)
-            out.append((start, i, [s for x in _SENTENCE.findall(text) if len(s := _NONWORD.sub("", x).casefold()) >= 4]))
-            start, held = None, []
+            above = False
+        if f & RULE:
+            # a delimiter stands between new text and a closing block
+            if k and nxt is not None and _closing_like(p_flags[nxt], get(nxt), nxt + 1 >= n or bool(p_flags[nxt + 1] & FIRST), p_flags[nxt + 1] if nxt + 1 < n else 0):
+                old[k] = closed = True
+        elif kind & FORMULA and j and (f & FIRST or nxt is not None and not p_flags[nxt] & FIRST):
+            if nxt is None or p_flags[nxt] & (FIRST | RULE | NAME | CONTACT) or get(nxt) & (AFTER | FORMULA) or nxt + 1 >= n or p_flags[nxt + 1] & (FIRST | CONTACT | RULE):
+                old[k] = closed = True
+        elif f & NAME and j:
+            if nxt is None or p_flags[nxt] & (FIRST | RULE | CONTACT | POSTSCRIPT) or get(nxt) & AFTER or p_flags[nxt] & NAME or not f & FIRST and p_flags[k - 1] & RULE:
+                old[k] = closed = True
+        elif kind & AFTER:
+            old[k] = True
+            if j:
+                closed = True
+    # delimiters next to what is old
+    for k in range(n):
+        if p_flags[k] & RULE and not old[k] and (k and old[k - 1] or k + 1 < n and old[k + 1]):
+            old[k] = True
+    return old
+
+
+def _closing_like(flags: int, kind: int, alone: bool, after: int) -> bool:
+    return bool(flags & (NAME | CONTACT) or kind & (AFTER | FORMULA))
+
+
+def pasted_lines(own: list[int], pieces: list[tuple[int, int, int]], sizes: list[int], shares: dict[int, float], greets: set[int]) -> list[int]:
+    """Lines most of which lie in merged intervals of matched sentences; ``shares`` has the chance of each matched sentence.
+
+    The chance of an interval counts as often as there are sentences that may begin one.  A sentence
+    alone counts if it is a whole paragraph.  ``greets`` are the lines that begin new
+    text as paragraphs of their own: greetings are new, whatever was said before.
+    """
+    hit = [s != 0 and s in shares for s in own]
+    if greets:
+        for s, line, _ in pieces:
+            if line in greets:
+                hit[s] = False
+    keep = [False] * len(own)
+    asked = sum(s != 0 for s in own)
+    i = 0
+    while i < len(own):
+        if not hit[i]:
+            i += 1
+            continue
+        j, chance = i, 1.0
+        while j < len(own) and (hit[j] or own[j] == 0 and j + 1 < len(own) and hit[j + 1]):
+            if own[j]:
+                chance *= shares[own[j]]
+            j += 1
+        if chance * asked <= CHANCE:
+            a = i
+            while a < j:
+                b = a
+                while b < j and own[b]:
+                    b += 1
+                if b - a > 1 or (a == 0 or own[a - 1] == 0) and (b == len(own) or own[b] == 0):
+                    keep[a:b] = [True] * (b - a)
+                a = b + 1
+        i = j
+    covered = [0] * len(sizes)
+    for s, line, letters in pieces:
+        if keep[s]:
+            covered[line] += letters
+    return [k for k, c in enumerate(covered) if c and 2 * c >= sizes[k]]
+
+
+def greetings(flags: list[int], sizes: list[int]) -> set[int]:
+    """Short lines that begin new text, as paragraphs of their own."""
+    out = set()
+    for k, f in enumerate(flags):
+        if not f & (MARKED | RULE) and f & FIRST and sizes[k] < 45 and (k == 0 or flags[k - 1] & MARKED) and (k + 1 == len(flags) or flags[k + 1] & FIRST):
+            out.add(k)
     return out
 
 
-def _pairs(sentences: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(f"{a}|{b}") - (1 << 63) for a, b in zip(sentences, sentences[1:])]
+def _rate_floor(k, n):
+    """Lower bound of a rate of k in n cases (Wilson)."""
+    z2 = Z * Z
+    return (k + z2 / 2 - Z * F.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
 
 
-def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
-    """(entry_id, line_no) of the non-blank lines of body that aren't newly written by the sender."""
+def parsed_mails(mails: DataFrame, stores: DataFrame) -> DataFrame:
+    """Each mail's lines and sentences as arrays, with its instant ``t`` and the instant ``by`` which its text is told by."""
     zones = stores.groupBy("store_id").agg(F.max("zone_name").alias("zone_name"), F.max("date_order").alias("date_order"))
     to_us = utc_micros()
-    harvested = F.col("harvested_at") if "harvested_at" in mails.columns else F.lit(None).cast("string")
-    once = ["store_id", "conversation_id", "sender_name", "body", "sent", "received"]
-    rows = mails.select("entry_id", *once, harvested.alias("harvested_at")).filter("entry_id IS NOT NULL AND length(body) > 0").groupBy("entry_id").agg(*[F.first(c).alias(c) for c in once], F.min("harvested_at").alias("harvested_at"))
+    column = lambda c: F.col(c) if c in mails.columns else F.lit(None).cast("string")
+    once = ["store_id", "conversation_id", "sender_name", "sender_email", "body", "sent", "received", "harvested_at"]
+    rows = mails.select("entry_id", F.struct(*[column(c).alias(c) for c in once]).alias("r")).filter("entry_id IS NOT NULL AND length(r.body) > 0")
+    rows = rows.groupBy("entry_id").agg(F.min("r").alias("r")).select("entry_id", "r.*")
     sent, received, harvested = (F.coalesce(to_us(c, "zone_name", "date_order"), F.lit(0).cast("long")) for c in ("sent", "received", "harvested_at"))
     own = F.when(sent > 0, sent).otherwise(received)
     # a mail may be harvested weeks late: that time dates its text for later mails, but doesn't make it later than others
     timed = rows.join(zones, "store_id", "left").withColumn("t", own).withColumn("by", F.when(own > 0, own).otherwise(harvested))
+    teller = F.xxhash64(F.lower(F.coalesce(F.nullif("sender_email", F.lit("")), "sender_name", F.lit(""))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for e, c, s, b, t, by in zip(pdf["entry_id"], pdf["conversation_id"], pdf["sender_name"], pdf["body"], pdf["t"], pdf["by"]):
-                old = old_lines(b, s or "")
-                told, asked = [], []
-                if c:
-                    for first, last, sentences in paragraphs(b):
-                        pairs = _pairs(sentences)
-                        told += pairs
-                        if pairs and not all(old[k] for k in range(first, last)):
-                            asked.append({"first": first, "last": last, "pairs": pairs})
-                out.append((e, c, t, by, [i + 1 for i, x in enumerate(old) if x], list(set(told)), asked, [i + 1 for i, x in enumerate(b.replace("\r", "").split("\n")) if x.strip()]))
-            yield pd.DataFrame(out, columns=["entry_id", "conversation_id", "t", "by", "old", "told", "asked", "lines"])
-
-    schema = "entry_id string, conversation_id string, t long, by long, old array<int>, told array<long>, asked array<struct<first: int, last: int, pairs: array<long>>>, lines array<int>"
-    parsed = cut(timed.select("entry_id", "conversation_id", "sender_name", "body", "t", "by").mapInPandas(scan, schema))
-    marked = parsed.select("entry_id", F.explode("old").alias("line_no"))
-    told = parsed.filter("length(conversation_id) > 0 AND by > 0").select("conversation_id", "by", F.explode("told").alias("pair")).groupBy("conversation_id", "pair").agg(F.min("by").alias("since"))
-    asked = parsed.filter("length(conversation_id) > 0 AND t > 0 AND size(asked) > 0").select("entry_id", "conversation_id", "t", F.explode("asked").alias("a")).select("entry_id", "conversation_id", "t", "a.first", "a.last", F.size("a.pairs").alias("n"), F.explode("a.pairs").alias("pair"))
-    held = asked.join(told, ["conversation_id", "pair"]).filter("since < t - 900000000")
-    pasted = held.groupBy("entry_id", "first", "last", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("entry_id", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("line_no"))
-    real = parsed.select("entry_id", F.explode("lines").alias("line_no"))
-    return marked.unionByName(pasted.join(real, ["entry_id", "line_no"], "left_semi")).distinct()
-
-
-def new_text_column():
-    """Arrow UDF (body, sender_name) -> newly written text by the marks alone."""
-
-    @F.pandas_udf("string")
-    def new_text(bodies: pd.Series, senders: pd.Series) -> pd.Series:
-        out = []
-        for b, s in zip(bodies, senders):
-            if not b:
-                out.append(b)
-                continue
-            lines = b.replace("\r", "").split("\n")
-            out.append(re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, o in zip(lines, old_lines(b, s or "")) if not o)).strip())
-        return pd.Series(out)
+            for e, c, s, who, b, t, by in zip(pdf["entry_id"], pdf["conversation_id"], pdf["sender_name"], pdf["teller"], pdf["body"], pdf["t"], pdf["by"]):
+                p = Parsed(b, s or "")
+                lines = b.replace("\r", "").split("\n")
+                mine = set(p.own) if c else set()
+                seen = p.seen()
+                piece = list(zip(*p.pieces)) if p.pieces and c else ((), (), ())
+                ends = [lines[i - 1].rstrip().endswith(_ENDS) and lines[i - 1].count(" ") >= 4 for i in p.numbers]
+                out.append((e, c, who, t, by, p.numbers, p.flags, p.keys, p.more, p.sizes, ends, [k for k, _ in seen], [x for _, x in seen], list(p.told | {0}) if c else [], list(mine | {0}) if c else [], p.own if c else [], *piece))
+            yield pd.DataFrame(out, columns=["entry_id", "conversation_id", "teller", "t", "by", "numbers", "flags", "keys", "more", "sizes", "ends", "seen", "bits", "told", "mine", "own", "piece_of", "piece_line", "piece_size"])
+
+    schema = "entry_id string, conversation_id string, teller long, t long, by long, numbers array<int>, flags array<int>, keys array<long>, more array<long>, sizes array<int>, ends array<boolean>, seen array<long>, bits array<int>, told array<long>, mine array<long>, own array<long>, piece_of array<int>, piece_line array<int>, piece_size array<int>"
+    return timed.select("entry_id", "conversation_id", "sender_name", teller.alias("teller"), "body", "t", "by").mapInPandas(scan, schema)
+
+
+def learned_lines(parsed: DataFrame) -> DataFrame:
+    """(teller, key, kind) of the closing lines, banners and words of introductions; a null teller stands for all."""
+    x = parsed.select("teller", F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
+    count = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
+    by_teller = x.groupBy("teller", "key").agg(F.count(F.lit(1)).alias("n"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
+    by_teller = cut(by_teller.filter("before + below + above + sure > 0 OR n > 1"))
+    overall = by_teller.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"))
+    some = F.col("tellers") > 1
+    kind = sum(F.when(_rate_floor(F.col(c), F.col("n")) > RATE, bit).otherwise(0) for c, bit in (("before", FORMULA), ("below", AFTER), ("above", BANNER), ("sure", WORD)))
+    general = overall.filter(some & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))).select(F.lit(None).cast("long").alias("teller"), "key", kind.cast("int").alias("kind")).filter("kind > 0")
+    of_teller = by_teller.filter("n > 1 AND below = n").select("teller", "key", F.lit(AFTER).alias("kind"))
+    return general.unionByName(of_teller)
+
+
+def thread_hits(parsed: DataFrame) -> DataFrame:
+    """(entry_id, hits array<struct<key, share>>): sentences of each mail that its thread told before, with their chance."""
+    threads = parsed.filter("length(conversation_id) > 0")
+    own = F.transform("told", lambda k: F.struct(k.alias("key"), F.array_contains("mine", k).cast("int").alias("mine")))
+    told = threads.filter("by > 0").select("conversation_id", "by", "teller", F.explode(own).alias("x")).select("conversation_id", "by", "teller", "x.key", "x.mine")
+    # key 0 is told by every message of the thread: it counts them
+    table = cut(told.groupBy("conversation_id", "key").agg(F.min(F.struct("by", "teller")).alias("first"), F.min("by").alias("since"), F.max("teller").alias("other"), F.min("teller").alias("one"), F.sum("mine").alias("k")))
+    size = table.filter("key = 0").select("conversation_id", F.col("k").alias("messages"))
+    threads_of = table.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("threads"))
+    total = size.agg(F.count(F.lit(1)).alias("all"))
+    asked = threads.filter("t > 0").select("entry_id", "conversation_id", "t", "teller", F.explode("mine").alias("key")).filter("key <> 0")
+    late = F.when(F.col("first.teller") == F.col("asked_by"), F.lit(COPY_US)).otherwise(F.lit(0))
+    held = asked.withColumnRenamed("teller", "asked_by").join(table.filter("key <> 0"), ["conversation_id", "key"]).filter(F.col("since") + late < F.col("t")).select("entry_id", "conversation_id", "key", "k")
+    share = F.greatest((F.col("threads") - 1) / F.greatest(F.col("all"), F.lit(1)), (F.col("k") - 2) / F.greatest(F.col("messages"), F.lit(1)), F.lit(0.0))
+    rated = held.join(threads_of, "key").join(size, "conversation_id").join(F.broadcast(total))  # one row
+    return rated.groupBy("entry_id").agg(F.collect_list(F.struct("key", share.alias("share"))).alias("hits"))
+
+
+def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
+    """(entry_id, line_no) of the non-blank lines of body that aren't newly written by the sender."""
+    parsed = cut(parsed_mails(mails, stores))
+    learned = cut(learned_lines(parsed))
+    lines = parsed.select("entry_id", "teller", F.explode(F.array_distinct("seen")).alias("key"))
+    general = lines.join(learned.filter("teller IS NULL").select("key", "kind"), "key").select("entry_id", "key", "kind")
+    special = lines.join(learned.filter("teller IS NOT NULL"), ["teller", "key"]).select("entry_id", "key", "kind")
+    known = general.unionByName(special).groupBy("entry_id").agg(F.collect_list(F.struct("key", "kind")).alias("known"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids: list[str] = []
+            numbers: list[int] = []
+            for e, no, flags, keys, more, sizes, ends, own, p_of, p_line, p_size, known_lines, hits in pdf.itertuples(index=False):
+                table: dict[int, int] = {}
+                for x in known_lines if known_lines is not None else ():
+                    table[x["key"]] = table.get(x["key"], 0) | x["kind"]
+                old = closing_lines(flags.tolist(), keys.tolist(), more.tolist(), table, ends)
+                if hits is not None:
+                    shares = {x["key"]: x["share"] for x in hits}
+                    for k in pasted_lines(own.tolist(), list(zip(p_of.tolist(), p_line.tolist(), p_size.tolist())), sizes, shares, greetings(flags.tolist(), sizes)):
+                        old[k] = True
+                got = no[np.array(old, bool)]
+                ids += [e] * len(got)
+                numbers += got.tolist()
+            yield pd.DataFrame({"entry_id": ids, "line_no": np.array(numbers, np.int32)})
 
-    return new_text
+    wide = parsed.select("entry_id", "numbers", "flags", "keys", "more", "sizes", "ends", "own", "piece_of", "piece_line", "piece_size").join(known, "entry_id", "left").join(thread_hits(parsed), "entry_id", "left")
+    return wide.mapInPandas(decide, "entry_id string, line_no int")
 
 
 def new_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
@@ -327,4 +519,5 @@ def new_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace("body", "\r", ""), "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda y: ~F.coalesce(F.array_contains("old", y["n"]), F.lit(False)))
     text = F.regexp_replace(F.array_join(F.transform(kept, lambda y: y["x"]), "\n"), "\n{3,}", "\n\n")
-    return mails.select("entry_id", "body").filter("entry_id IS NOT NULL").dropDuplicates(["entry_id"]).join(old, "entry_id", "left").select("entry_id", F.trim(text).alias("new_text"))
+    bodies = mails.select("entry_id", "body").filter("entry_id IS NOT NULL").groupBy("entry_id").agg(F.min("body").alias("body"))
+    return bodies.join(old, "entry_id", "left").select("entry_id", F.trim(text).alias("new_text"))
