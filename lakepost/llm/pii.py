@@ -1,35 +1,43 @@
 """Personal data in free text, by anchor expansion.
 
-An Aho-Corasick automaton over at-signs and their spelled forms, address words and known first
-names, together with digit runs, finds anchors; local parsers expand each anchor to the whole
-address, number, street or name and validate it.  First names and surnames are learned from the
-structured sender fields: first names with at least ``PARTNERS`` surnames (few, whatever the
-corpus), surnames as bits of a filter of fixed size and as frequent endings.
+One Aho-Corasick automaton over at-signs and their spelled forms, schemes, words of streets, cues of
+identity numbers and known first names, together with starts of digit groups, finds anchors; a
+local parser expands each anchor to the whole address, number, street or name and validates it
+(hosts, lengths of numbers, check digits, house numbers).  First names and surnames are learned
+from the structured sender fields: first names that stand before several surnames, surnames in a
+bit filter sized by their number, and frequent endings of surnames.
 
 Defined cases: null and empty texts hold nothing; places of the same type that overlap count
-once (the longer); titles are left out; a street without a house number is no address; texts
-are read whole.
+once (the longer); titles are left out; a street without a house number is no address; a bare
+number of eleven digits needs a right check digit or a cue before it; texts are read whole and
+anchors are expanded as far as they go.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakepost.llm import patterns
+from lakepost.llm.filters import BitFilter, build_filter
+from lakepost.session import cut
 
-PARTNERS = 5
-NAME_BITS = 1 << 22
+#: Surnames that a first name must stand before: so many, and this share of all surnames.
+PARTNERS, PARTNER_SHARE = 5, 1e-5
+#: Surnames that an ending must have, likewise: at most 1 / ENDING_SHARE endings are kept.
+ENDINGS, ENDING_SHARE = 12, 2e-4
 # Spelled at-signs.
 AT_SIGNS = ["@", "(at)", "[at]", "{at}", "<at>", " at ", "(małpa)", "[małpa]", "(arroba)", "[arroba]", "(chiocciola)", "(zavináč)", "(собака)", "(ät)", "(@)", "[@]", "＠"]
+SCHEMES = ["://"]
+# Words before identity numbers.
+NUMBER_CUES = "pesel document dokument identit identity ausweis identité documento nummer číslo номер passport паспорт 番号 身分 numerze".split()
 _GAP = r"(?:[ \t\u00a0]|\r?\n[ \t]*(?:\p{L}{0,2}[>|][ \t]?)*)"
 _LINE = r"\r?\n[ \t]*(?:\p{L}{0,2}[>|][ \t]?)*"
 _W = r"[\p{Lu}][\p{L}\u0300-\u036f’'\-]+"
@@ -46,8 +54,14 @@ _ADDRESS = [
     regex.compile(rf"\b{_W}{_GAP}(?:mostů|ulice|náměstí|třída|nábřeží){_GAP}\d{{1,4}}(?:/\d+)?\b"),
     regex.compile(r"[\p{Han}]{1,6}(?:町|丁目|通り|番地)[\d０-９一二三四五六七八九十]+(?:[-−ー丁目番地の][\d０-９]+)*(?:号)?"),
 ]
-_ADDRESS_CUE = regex.compile(r"(?i)\b(?:ul|al|pl|os|ул|вул|просп|пр|пл|бульв|наб|пер|avda)\.|\b(?:rue|avenue|boulevard|place|quai|impasse|allée|chemin|cours|via|viale|piazza|corso|vicolo|largo|calle|avenida|plaza|paseo|rua|travessa|praça|alameda|rambla|street|road|lane|close|drive|court|way|square|terrace|gardens|hill|row|am|im|zum|zur|na|mostů|ulice|náměstí|třída|nábřeží|an der|auf dem)\b|(?:straße|strasse|straat|weg|allee|platz|gasse|damm|ufer|laan|gracht|plein|kade|steeg|dijk|singel|gatan|vägen|gränd|torget|stigen)\b|町|丁目|番地")
-_EMAIL_LOCAL = regex.compile(r"[A-Za-z0-9._%+\-]+$")
+# Words of streets, by the number of the pattern that expands them.
+STREET_CUES = [
+    "ul. al. pl. os. Ul. Al. Pl. Os. UL. AL. PL. OS.", "rue avenue boulevard place quai impasse allée chemin cours", "Via Viale Piazza Corso Vicolo Largo Calle Avda. Avenida Plaza Paseo Rua Travessa Praça Alameda Rambla",
+    "Street Road Lane Avenue Close Drive Court Way Square Terrace Gardens Hill Row", "straße strasse straat weg allee platz gasse damm ufer laan gracht plein kade steeg dijk singel gatan vägen gränd torget stigen",
+    "Am An Im Zum Zur Auf", "ул. вул. просп. пр. пл. бульв. наб. пер.", "пер. ул. пр. просп. наб.", "Na", "mostů ulice náměstí třída nábřeží", "町 丁目 通り 番地",
+]
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DIGIT_ANCHOR = re.compile(r"(?<![\w./,+\-])[+(]?\d|(?<![\w/#\-.])[A-Z]{2,3}(?=[ \r\n\t>|]*\d\d)")
 _EMAIL_HOST = regex.compile(rf"(?:[A-Za-z0-9\-]+(?:\.|{_GAP}?[\[({{<]{_GAP}?(?:dot|kropka|punkt|punto|ponto|tečka|точка){_GAP}?[\])}}>]{_GAP}?))+[A-Za-z]{{2,}}")
 _PHONE = regex.compile(
     rf"(?<![\w./,+\-])(?:\+\d{{1,3}}(?:[ \-/.]|{_LINE})?(?:\(\d{{1,4}}\)(?:[ \-]|{_LINE})?)?\d(?:(?:[ \-./]|{_LINE})?\d){{5,12}}"
@@ -56,37 +70,44 @@ _PHONE = regex.compile(
     rf"|\d{{3}}(?:[ \-.]|{_LINE})\d{{3}}(?:[ \-.]|{_LINE})\d{{3,4}}"
     rf"|0\d{{2,4}}(?:[ \-/]|{_LINE})\d{{3,5}}(?:(?:[ \-/]|{_LINE})\d{{2,5}})?)(?![\w/]|[.\-]\d)"
 )
-_NUMBER_CUE = regex.compile(r"(?i)pesel|document|dokument|identit|identity|ausweis|identité|documento|nummer|číslo|номер|passport|паспорт|番号|身分")
 _ID = regex.compile(rf"(?<![\w/#\-.])(?:\d{{11}}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{6}}(?: |{_LINE})\d{{5}}|[A-Z]{{3}} ?\d{{6}}|QQ(?: |{_LINE})?\d{{2}}(?: |{_LINE})?\d{{2}}(?: |{_LINE})?\d{{2}}(?: |{_LINE})?[A-D])(?![\w/]|-\d)")
 _INITIAL = regex.compile(rf"(?<![\p{{L}}\p{{N}}.\-])\p{{Lu}}\.{_GAP}?(?:\p{{Lu}}\.{_GAP}?)?(?=\p{{Lu}}\p{{L}})")
 _AFTER = regex.compile(rf"(?:{_GAP}?\p{{Lu}}\.)?{_GAP}([\p{{Lu}}][\p{{L}}’'\-?\ufffd]*[\p{{L}}?\ufffd])")
 _TOKEN = regex.compile(r"[\p{L}?\ufffd][\p{L}\p{M}’'\-?\ufffd]*")
 _BEFORE = regex.compile(rf"([\p{{Lu}}][\p{{L}}’'\-]*\p{{L}}){_GAP}$")
 _WORDCHAR = regex.compile(r"[\p{L}\p{N}_]")
-_HAS_CJK = regex.compile(r"[\p{Han}]{2,}")
 
 
 class Names:
     """Known first names, and surnames as a bit filter with their frequent endings."""
 
-    def __init__(self, first: set[str], bits: np.ndarray, endings: set[str], han: set[str]) -> None:
-        self.first, self.bits, self.endings, self.han = first, bits, endings, han
+    def __init__(self, first: set[str], last: BitFilter, endings: set[str], han: set[str]) -> None:
+        self.first, self.last, self.endings, self.han = first, last, endings, han
         self._automaton = None
 
     def __getstate__(self):
-        return {"first": self.first, "bits": self.bits, "endings": self.endings, "han": self.han, "_automaton": None}
+        return {"first": self.first, "last": self.last, "endings": self.endings, "han": self.han, "_automaton": None}
 
     @property
     def automaton(self):
+        """Anchors of all kinds: text -> (kind, length, pattern of an address)."""
         if self._automaton is None:
-            a = ahocorasick.Automaton()
+            held: dict[str, list[tuple[str, int]]] = {}
             for n in self.first:
                 for form in {n, n.upper()}:
-                    a.add_word(form, ("first", len(form)))
+                    held.setdefault(form, []).append(("first", 0))
             for h in self.han:
-                a.add_word(h, ("han", len(h)))
+                held.setdefault(h, []).append(("han", 0))
             for s in AT_SIGNS:
-                a.add_word(s, ("at", len(s)))
+                held.setdefault(s, []).append(("at", 0))
+            for s in SCHEMES:
+                held.setdefault(s, []).append(("scheme", 0))
+            for i, words in enumerate(STREET_CUES):
+                for w in words.split():
+                    held.setdefault(w, []).append(("street", i))
+            a = ahocorasick.Automaton()
+            for text, kinds in held.items():
+                a.add_word(text, (len(text), kinds))
             a.make_automaton()
             self._automaton = a
         return self._automaton
@@ -95,139 +116,197 @@ class Names:
         w = word.split("-")[0].casefold()
         if len(w) < 4:
             return False
-        h = xxhash.xxh64_intdigest(w) & (NAME_BITS - 1)
-        if self.bits[h >> 3] >> (h & 7) & 1:
-            return True
-        return not known_only and len(w) >= 6 and w[-4:] in self.endings
+        return w in self.last or (not known_only and len(w) >= 6 and w[-4:] in self.endings)
 
 
 def learn_names(people: DataFrame, column: str) -> Names:
-    """Names from a column of personal names (``First Surname`` or, in Han, one word)."""
-    clean = people.select(F.trim(column).alias("n")).filter("n IS NOT NULL").distinct()
-    pairs = clean.filter(F.col("n").rlike(r"^[\p{L}'’]+ [\p{L}'’]+(-[\p{L}'’]+)?$")).select(F.element_at(F.split("n", " "), 1).alias("first"), F.element_at(F.split(F.element_at(F.split("n", " "), 2), "-"), 1).alias("last"))
-    firsts = pairs.groupBy("first").agg(F.approx_count_distinct("last").alias("k")).filter(F.col("k") >= PARTNERS)
+    """Names from a column of personal names (``First Surname`` or, in Han, one word): one scan, then distinct names only."""
+    clean = cut(people.select(F.trim(column).alias("n")).filter("n IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("c")))
+    pairs = clean.filter(F.col("n").rlike(r"^[\p{L}'’]+ [\p{L}'’]+(-[\p{L}'’]+)?$")).select(F.element_at(F.split("n", " "), 1).alias("first"), F.element_at(F.split(F.element_at(F.split("n", " "), 2), "-"), 1).alias("last")).distinct()
+    all_lasts = pairs.select("last").distinct().count()
+    firsts = cut(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= max(PARTNERS, PARTNER_SHARE * all_lasts)).select("first"))
     first = {r["first"] for r in firsts.collect()}
-    lasts = pairs.join(firsts.select("first"), "first", "left_semi").select(F.lower("last").alias("last")).distinct()
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"place": [xxhash.xxh64_intdigest(w.casefold()) & (NAME_BITS - 1) for w in pdf["last"]]}, dtype="int64")
-
-    got = lasts.mapInPandas(places, "place long").distinct().toPandas()["place"].to_numpy()
-    bits = np.zeros(NAME_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, got >> 3, (1 << (got & 7)).astype(np.uint8))
-    endings = {r["e"] for r in lasts.filter("length(last) >= 6").groupBy(F.expr("right(last, 4)").alias("e")).count().filter("count >= 12").collect()}
-    han = {r["n"] for r in people.select(F.trim(column).alias("n")).filter(F.col("n").rlike(r"^\p{IsHan}{3,6}$")).groupBy("n").count().filter(F.col("count") >= 3).orderBy(F.desc("count")).limit(20000).collect()}
+    lasts = cut(pairs.join(firsts, "first", "left_semi").select(F.lower("last").alias("last")).distinct())
+    known = build_filter(lasts, "last")
+    least = max(ENDINGS, ENDING_SHARE * all_lasts)
+    endings = {r["e"] for r in lasts.filter("length(last) >= 6").groupBy(F.expr("right(last, 4)").alias("e")).count().filter(F.col("count") >= least).collect()}
+    han = {r["n"] for r in clean.filter(F.col("n").rlike(r"^\p{IsHan}{3,6}$") & (F.col("c") >= max(3, PARTNER_SHARE * all_lasts))).select("n").collect()}
     parts: dict[str, int] = {}
     for h in han:
         for p in ({h[2:]} if len(h) >= 4 else {h[2:], h[1:]}):
             if len(p) >= 2:
                 parts[p] = parts.get(p, 0) + 1
-    return Names(first, bits, endings, han | {p for p, k in parts.items() if k >= 2})
+    return Names(first, known, endings, han | {p for p, k in parts.items() if k >= 2})
+
+
+class Spans:
+    """Places that are taken, kept in order, none inside another."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+
+    def free(self, s: int, e: int) -> bool:
+        k = bisect_left(self.spans, (e, e))
+        return not any(b > s for _, b in self.spans[max(0, k - 1) : k])
+
+    def add(self, s: int, e: int) -> None:
+        """Take s to e; what touches it becomes one with it."""
+        k = bisect_right(self.spans, (s, 1 << 60))
+        while k and self.spans[k - 1][1] > s:
+            k -= 1
+            a, b = self.spans.pop(k)
+            s, e = min(a, s), max(b, e)
+        while k < len(self.spans) and self.spans[k][0] < e:
+            e = max(e, self.spans.pop(k)[1])
+        insort(self.spans, (s, e))
 
 
 def _emails(text: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Addresses around at-signs: the whole local part before, a valid host behind."""
     for start, end in hits:
-        left = text[max(0, start - 80) : start].rstrip(" \t")
-        if text[start:end] == " at ":
-            continue
-        m = _EMAIL_LOCAL.search(left)
-        if m is None:
-            k = patterns.search(rf"([A-Za-z0-9._%+\-]+){_GAP}$", text[max(0, start - 80) : start])
-            if k is None:
+        e = start
+        while e and text[e - 1] in " \t":
+            e -= 1
+        s = e
+        while s and text[s - 1] in _LOCAL:
+            s -= 1
+        if s == e and start:
+            # the local part may stand on the line before
+            k = e
+            while k and text[k - 1] in " \t\r\n>|":
+                k -= 1
+            if "\n" not in text[k:e] or text.count("\n", k, e) > 1:
                 continue
-            s = max(0, start - 80) + k.start(1)
-        else:
-            s = max(0, start - 80) + m.start()
-        t = end
-        while t < len(text) and text[t] in " \t":
-            t += 1
-        g = patterns.compiled(rf"{_GAP}*").match(text, end)
-        h = _EMAIL_HOST.match(text, g.end() if g else t)
-        if h is None:
+            s = e = k
+            while s and text[s - 1] in _LOCAL:
+                s -= 1
+        while s < e and text[s] in ".-+%":
+            s += 1
+        if s == e or text[start:end] == " at " and not any(c in "._-0123456789" for c in text[s:e]):
             continue
-        local = text[s:start].lstrip(".-+%")
-        s += len(text[s:start]) - len(text[s:start].lstrip(".-+%"))
-        if local:
+        g = _GAPS.match(text, end)
+        h = _EMAIL_HOST.match(text, g.end() if g else end)
+        if h is not None:
             yield s, h.end()
 
 
+_GAPS = regex.compile(rf"{_GAP}*")
+_SCHEME = re.compile(r"\w+://[!-~]+")
+_PESEL = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)
+
+
+def valid_number(token: str, before: str) -> bool:
+    """Whether an identity number holds: check digits of eleven digits, or a cue before it; areas of nine digits that are given out."""
+    if re.fullmatch(r"\d{11}", token):
+        right = (10 - sum(int(x) * w for x, w in zip(token, _PESEL)) % 10) % 10 == int(token[10])
+        low = before.lower()
+        return right and len(set(token)) > 1 or any(c in low for c in NUMBER_CUES)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", token):
+        return token[:3] not in ("000", "666") and token[4:6] != "00" and token[7:] != "0000"
+    return True
+
+
+def _numbers(text: str, taken: Spans) -> Iterator[tuple[str, int, int]]:
+    """Identity numbers and phones, parsed at the starts of digit groups."""
+    phones = []
+    for a in _DIGIT_ANCHOR.finditer(text):
+        s = a.start()
+        m = _ID.match(text, s)
+        if m is not None and taken.free(*m.span()):
+            e = m.end()
+            if not (m[0].isdigit() and patterns.search(r"(?:\b(?:SR|ZG|K|REF)[ \-/])$", text[max(0, s - 4) : s])) and valid_number(m[0], text[max(0, s - 40) : s]):
+                taken.add(s, e)
+                yield "id_number", s, e
+                continue
+        m = _PHONE.match(text, s)
+        if m is not None:
+            phones.append(m)
+    for m in phones:
+        s, e = m.span()
+        digits = sum(c.isdigit() for c in m[0])
+        if not taken.free(s, e) or digits < 9 or digits > 15 or patterns.match(r"\d{3} \d{3} \d{3}[ ,]?\d*\s?(?:zł|€|元|円)", text[s : e + 8]):
+            continue
+        taken.add(s, e)
+        yield "phone", s, e
+
+
 def find_pii(text: str, names: Names) -> list[tuple[str, int, int]]:
     """(type, start, end) of each piece of personal data, in code points."""
     out: list[tuple[str, int, int]] = []
-    ats, firsts, hans = [], [], []
-    for end, (kind, length) in names.automaton.iter(text):
+    ats, firsts, hans, streets, scheme = [], [], [], set(), False
+    for end, (length, kinds) in names.automaton.iter(text):
         span = (end - length + 1, end + 1)
-        (ats if kind == "at" else firsts if kind == "first" else hans).append(span)
-    taken: list[tuple[int, int]] = []
+        for kind, pattern in kinds:
+            if kind == "at":
+                ats.append(span)
+            elif kind == "first":
+                firsts.append(span)
+            elif kind == "han":
+                hans.append(span)
+            elif kind == "street":
+                streets.add(pattern)
+            else:
+                scheme = True
+    taken = Spans()
     for s, e in _emails(text, ats):
-        if not any(a <= s < b for a, b in taken):
+        if taken.free(s, e):
             out.append(("email", s, e))
-            taken.append((s, e))
-    if "://" in text:
-        taken += [m.span() for m in re.finditer(r"\w+://[!-~]+", text)]
-    free = lambda s, e: not any(a < e and s < b for a, b in taken)
-    for m in _ID.finditer(text):
-        s, e = m.span()
-        if free(s, e):
-            near = text[max(0, s - 4) : s]
-            if patterns.search(r"(?:\b(?:SR|ZG|K|REF)[ \-/])$", near) and text[s:e].isdigit():
-                continue
-            out.append(("id_number", s, e))
-            taken.append((s, e))
-    for m in _PHONE.finditer(text):
-        s, e = m.span()
-        if not free(s, e):
-            continue
-        digits = sum(c.isdigit() for c in m[0])
-        if digits < 9 or digits > 15 or patterns.match(r"\d{3} \d{3} \d{3}[ ,]?\d*\s?(?:zł|€|元|円)", text[s : e + 8]):
-            continue
-        out.append(("phone", s, e))
-        taken.append((s, e))
-    if _ADDRESS_CUE.search(text):
-        for p in _ADDRESS:
-            for m in p.finditer(text):
-                s, e = m.span()
-                if free(s, e):
-                    lead = patterns.match(rf"(?:(?:Die|Der|Das|Het|Den|La|El|Il|Nová|The|Uwe|lautet|is|är|est|es|é|in|der){_GAP})+", text[s:e])
-                    s += lead.end() if lead else 0
-                    out.append(("address", s, e))
-                    taken.append((s, e))
-    named: list[tuple[int, int]] = []
+            taken.add(s, e)
+    if scheme:
+        for m in _SCHEME.finditer(text):
+            taken.add(*m.span())
+    out += _numbers(text, taken)
+    free = taken.free
+    for k in sorted(streets):
+        for m in _ADDRESS[k].finditer(text):
+            s, e = m.span()
+            if free(s, e):
+                lead = patterns.match(rf"(?:(?:Die|Der|Das|Het|Den|La|El|Il|Nová|The|Uwe|lautet|is|är|est|es|é|in|der){_GAP})+", text[s:e])
+                s += lead.end() if lead else 0
+                out.append(("address", s, e))
+                taken.add(s, e)
+    named = Spans()
+    whole: list[tuple[int, int]] = []
+
+    def name(s: int, e: int) -> None:
+        whole.append((s, e))
+        named.add(s, e)
+
     for s, e in sorted(firsts, key=lambda x: (x[0], -x[1])):
         if s > 0 and (_WORDCHAR.match(text[s - 1]) or text[s - 1] in "@./-_+" and s > 1 and _WORDCHAR.match(text[s - 2])):
             continue
         if e < len(text) and (_WORDCHAR.match(text[e]) or text[e] in "@_" or (text[e] in ".+-" and e + 1 < len(text) and text[e + 1].islower() and text[e] != "-")):
             continue
-        if not free(s, e) or any(a <= s < b for a, b in named):
+        if not free(s, e) or not named.free(s, s + 1):
             continue
         b = _BEFORE.search(text[max(0, s - 50) : s])
         after = _AFTER.match(text, e)
         if after is not None and (names.surname(after[1]) or after[1].casefold() not in _COMMON and "\n" not in text[e : after.start(1)] and not names.surname(b[1]) if b else after is not None and names.surname(after[1])):
-            named.append((s, after.end()))
+            name(s, after.end())
         elif b is not None and names.surname(b[1]) and b[1] not in names.first and free(max(0, s - 50) + b.start(1), s):
-            named.append((max(0, s - 50) + b.start(1), e))
+            name(max(0, s - 50) + b.start(1), e)
         else:
             tail = patterns.match(rf"{_GAP}\p{{Lu}}\.(?!\p{{L}})", text[e : e + 12])
-            named.append((s, e + (tail.end() if tail else 0)))
+            name(s, e + (tail.end() if tail else 0))
     for m in _INITIAL.finditer(text):
         s = m.start()
-        if any(a <= s < b for a, b in named) or not free(s, m.end()):
+        if not named.free(s, s + 1) or not free(s, m.end()):
             continue
         t = _TOKEN.match(text, m.end())
         if t is not None and (names.surname(t[0]) or t[0] in names.first):
-            named.append((s, t.end()))
+            name(s, t.end())
     # a surname before an initial
-    for m in patterns.finditer(rf"(?<![\p{{L}}\-.])([\p{{Lu}}][\p{{L}}\-’']{{3,}}){_GAP}\p{{Lu}}\.(?!\p{{L}})", text):
-        if names.surname(m[1], True) and free(m.start(), m.end()) and not any(a < m.end() and m.start() < b for a, b in named):
-            named.append(m.span())
+    for m in _SURNAME_INITIAL.finditer(text):
+        if names.surname(m[1], True) and free(m.start(), m.end()) and named.free(m.start(), m.end()):
+            name(*m.span())
     for s, e in sorted(hans, key=lambda x: (x[0], -x[1])):
-        if free(s, e) and not any(a < e and s < b for a, b in named):
-            named.append((s, e))
-    out += [("name", s, e) for s, e in named]
+        if free(s, e) and named.free(s, e):
+            name(s, e)
+    out += [("name", s, e) for s, e in whole]
     return sorted(set(out), key=lambda x: (x[1], x[2]))
 
 
+_SURNAME_INITIAL = regex.compile(rf"(?<![\p{{L}}\-.])([\p{{Lu}}][\p{{L}}\-’']{{3,}}){_GAP}\p{{Lu}}\.(?!\p{{L}})")
 _COMMON = {"dear", "hi", "hello", "re", "fw"}
 
 
