@@ -3,7 +3,7 @@
 Each language has a codeword of ``BITS`` bits.  For each bit a binary classifier over hashed
 character n-grams tells the languages whose bit is set from the others (log ratios of smoothed
 n-gram frequencies, learned from documents whose language is known, at most ``PER_LANGUAGE`` of
-each language: a bounded sample).  A sentence is decoded to the codeword of least weighted
+each language: a bounded sample, a fifth of which is held out to weigh the bits).  A sentence is decoded to the codeword of least weighted
 loss, bits weighted by how well they separate the training texts; neighbouring sentences are
 smoothed by Viterbi with a cost of switching; each run of sentences of one language is a part
 with its place in the text; the confidence is the share of the best codeword among all, and ties
@@ -36,7 +36,8 @@ from lakepost.session import cut
 LANGUAGES = ["pl", "en", "de", "fr", "es", "pt", "it", "cs", "nl", "sv", "uk", "ru", "ja"]
 BITS = 31
 WIDTH = 1 << 15
-PER_LANGUAGE = 400
+PER_LANGUAGE = 500
+SLOTS = 1 << 30
 LEAST, LEAST_JA = 45, 15
 SWITCH = 5.0
 # Spellings of language names in labels, besides codes with regions.
@@ -112,7 +113,7 @@ class Model:
             k = self.index.get(w)
             if k is None:
                 k = self.index[w] = len(self.rows)
-                self.rows.append(self.weights[grams(w[:40])].sum(axis=0))
+                self.rows.append(self.weights[grams(w)].sum(axis=0))
             total = total + self.rows[k]
             n += 1
         return total, n
@@ -137,19 +138,26 @@ class Model:
         return out
 
 
+def labelled_sample(documents: DataFrame, per_language: int) -> pd.DataFrame:
+    """(lang, text) of about ``per_language`` documents of each language, those of the least hashes: two scans, a bounded result."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    known = documents.filter(F.col("lang").isin(LANGUAGES))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 13 rows
+    # twice as many as are wanted, for short texts are left out
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(SLOTS, 2 * per_language * SLOTS // n + 1))) for k, n in counts.items()], F.lit(0))
+    got = known.select("lang", "text", h.alias("h")).filter((F.col("h") < bound) & (F.length("text") > 30)).toPandas()
+    return got.sort_values(["lang", "h", "text"], kind="stable").groupby("lang").head(per_language)
+
+
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit the bit classifiers on at most ``per_language`` documents of each language."""
-    known = documents.filter(F.col("lang").isin(LANGUAGES) & (F.length("text") > 30)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    sample = None
-    for lang in LANGUAGES:
-        part = known.filter(F.col("lang") == lang).orderBy("h").limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    got = sample.select("lang", "text").toPandas()
+    """Fit the bit classifiers on at most ``per_language`` documents of each language; a fifth of them is held out to weigh the bits."""
+    got = labelled_sample(documents, per_language)
+    held = got.groupby("lang").cumcount() % 5 == 4
     counts = np.zeros((len(LANGUAGES), WIDTH), np.float64)
-    for lang, text in zip(got["lang"], got["text"]):
+    for lang, text in zip(got["lang"][~held], got["text"][~held]):
         row = counts[LANGUAGES.index(lang)]
         for w, n in Counter(pieces(text)).items():
-            np.add.at(row, grams(w[:40]), min(n, 3))
+            np.add.at(row, grams(w), min(n, 3))
     code = codewords()
     share = (np.minimum(counts, 400) + 0.02) / (np.minimum(counts, 400) + 0.02).sum(axis=1, keepdims=True)
     weights = np.zeros((WIDTH, BITS), np.float32)
@@ -158,10 +166,11 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         one, zero = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
         weights[:, b] = np.where(seen, np.clip(np.log(one / zero), -4, 4), 0)
     model = Model(weights, code, np.ones(BITS))
-    right = np.zeros(BITS)
-    for lang, text in zip(got["lang"].iloc[::3], got["text"].iloc[::3]):
-        right += np.sign(model.bits(text[:400])[0]) == code[LANGUAGES.index(lang)]
-    rate = np.clip(right / max(1, len(got["lang"].iloc[::3])), 0.51, 0.999)
+    right, n = np.zeros(BITS), 0
+    for lang, text in zip(got["lang"][held], got["text"][held]):
+        right += np.sign(model.bits(text)[0]) == code[LANGUAGES.index(lang)]
+        n += 1
+    rate = np.clip((right + 1) / (n + 2), 0.51, 0.999)
     trust = np.log(rate / (1 - rate))
     return Model(weights, code, trust / trust.mean())
 
