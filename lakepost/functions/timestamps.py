@@ -1,9 +1,11 @@
 """Mixed timestamp notations to UTC instants.
 
 Values become character-class shape masks (a digit 9, a run of letters A); each distinct mask
-is mapped to a parser once, and the parser converts all values of the mask at once with
-arrays.  Wall times go through zone transition tables, built per zone from the installed time
-zone database, whose version is part of the table's key.
+is mapped once to the parsers that fit its shape, and they convert all values of the mask at once
+with arrays; values that the first parser leaves are given to the next, so the order of rows plays no
+part.  Wall times go through zone transition tables, built per zone from the installed time
+zone database, whose version is part of the table's key: a worker with another version than the
+driver's raises an error.  Times beyond the tables (1850 to 2100) are read one by one.
 
 Defined cases: null, empty and meaningless values give null; a wall time that occurs twice is
 the earlier instant; one that never occurs moves forward by the gap; smaller fractions than
@@ -44,7 +46,7 @@ FILETIME_EPOCH_US = 11_644_473_600 * US
 _ZONE = r"(?P<zone>Z|(?:UTC|GMT)?\s?[+-]\d{1,2}:?(?:\d\d)?|[A-Za-z]+/[A-Za-z_/+-]+|\[[A-Za-z_/+-]+\]|[A-Z]{1,5})?\s*(?:\([A-Za-z ]+\)|\[[A-Za-z_/+-]+\])?"
 _CLOCK = r"(?P<H>\d{1,2})[:.](?P<M>\d\d)(?:[:.](?P<S>\d\d)(?:[.,](?P<frac>\d+))?)?"
 _AMPM = r"(?:[\s  ]*(?P<ampm>[AaPp])\.?[Mm]\.?)?"
-# Each parser's pattern; a mask takes the first that its first value matches in full.
+# Each parser's pattern; a value takes the first that it matches in full.
 PARSERS: list[tuple[str, re.Pattern]] = [
     ("date", re.compile(rf"(?P<Y>\d{{4}})(?P<sep>[-/.])(?P<m>\d{{1,2}})(?P=sep)(?P<d>\d{{1,2}})[T\s]+{_CLOCK}\s*{_ZONE}")),
     ("date", re.compile(rf"(?P<Y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)T?(?P<H>\d\d)(?P<M>\d\d)(?P<S>\d\d)(?:[.,](?P<frac>\d+))?{_ZONE}")),
@@ -64,6 +66,7 @@ def mask(value: str) -> str:
     return re.sub(r"[^\W\d_]+", "A", re.sub(r"\d", "9", value))
 
 
+@lru_cache(maxsize=1)
 def database_version() -> str:
     try:
         with open("/usr/share/zoneinfo/tzdata.zi", encoding="ascii") as f:
@@ -77,7 +80,11 @@ def database_version() -> str:
             return "unknown"
 
 
-@lru_cache(maxsize=512)
+#: What the transition tables cover: 1850 to 2100.
+FIRST_US, LAST_US = -3_786_825_600 * US, 4_102_444_800 * US
+
+
+@lru_cache(maxsize=1024)
 def transitions(zone: str, version: str = "") -> tuple[np.ndarray, np.ndarray] | None:
     """UTC instants (us) at which the offset (us) changes, first entry from minus infinity; null if unknown."""
     try:
@@ -85,9 +92,9 @@ def transitions(zone: str, version: str = "") -> tuple[np.ndarray, np.ndarray] |
     except Exception:
         return None
     offset = lambda t: int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(tz).utcoffset().total_seconds())
-    step, t = 7 * 86400, -2_208_988_800
+    step, t = 7 * 86400, FIRST_US // US
     at, offs = [np.iinfo(np.int64).min], [offset(t) * US]
-    while t < 4_102_444_800:
+    while t < LAST_US // US:
         if offset(t + step) != offset(t):
             lo, hi = t, t + step
             while hi - lo > 1:
@@ -99,12 +106,24 @@ def transitions(zone: str, version: str = "") -> tuple[np.ndarray, np.ndarray] |
     return np.array(at, np.int64), np.array(offs, np.int64)
 
 
+def _offset_of_wall(wall: int, zone: str) -> int:
+    """Offset (us) of one wall time: the earlier one where it occurs twice, that before the gap where it never does."""
+    local = datetime(1970, 1, 1) + timedelta(microseconds=wall)
+    return int(local.replace(tzinfo=ZoneInfo(zone)).utcoffset().total_seconds()) * US
+
+
 def wall_to_utc(wall: np.ndarray, zone: str, version: str = "") -> tuple[np.ndarray, bool]:
     """UTC us of wall-clock us: in an overlap the earlier instant, in a gap moved forward by its length."""
     table = transitions(zone, version)
     if table is None:
         return wall, False
     at, off = table
+    beyond = (wall < FIRST_US + 86400 * US) | (wall > LAST_US - 86400 * US)
+    if beyond.any():
+        out = wall.copy()
+        out[~beyond] = wall_to_utc(wall[~beyond], zone, version)[0]
+        out[beyond] = [w - _offset_of_wall(int(w), zone) for w in wall[beyond]]
+        return out, True
     if len(at) == 1:
         return wall - off[0], True
     # a wall time belongs to the first period whose end, told in that period's own wall time, lies beyond it
@@ -175,20 +194,46 @@ def _convert(kind: str, pattern: re.Pattern, values: list[str], zones: np.ndarra
     return out, ok
 
 
+#: Parsers of at most so many masks are kept; a mask that is met again is mapped again.
+MASKS = 50_000
+
+
+def parsers_of(value: str) -> list[tuple[str, re.Pattern]]:
+    """Parsers that may fit values of a mask: a parser's pattern tells no more than shapes, names of months and zones."""
+    return [(k, p) for k, p in PARSERS if _shape_fits(p, value)]
+
+
+def _shape_fits(pattern: re.Pattern, value: str) -> bool:
+    """Whether some value of this value's mask may fit: letters and zone names are what differs within a mask."""
+    if pattern.fullmatch(value):
+        return True
+    return any(c.isalpha() for c in value)
+
+
 def parse_instants(values: pd.Series, zones: pd.Series, orders: pd.Series, version: str = "", plan: dict | None = None) -> pd.Series:
-    """UTC microseconds (nullable) of each value; ``plan`` keeps the parser of each mask between calls."""
+    """UTC microseconds (nullable) of each value; ``plan`` keeps the parsers of each mask between calls."""
     plan = {} if plan is None else plan
+    if len(plan) > MASKS:
+        plan.clear()
     text = values.fillna("").astype(str).str.strip().to_numpy(object)
     zone, mdy = zones.fillna("").to_numpy(object), (orders.fillna("") == "mdy").to_numpy()
     masks = np.array([mask(v) for v in text], object)
     out, ok = np.zeros(len(text), np.int64), np.zeros(len(text), bool)
     codes, distinct = pd.factorize(masks)
     for i, shape in enumerate(distinct):
+        if not shape:
+            continue
         rows = np.flatnonzero(codes == i)
         if shape not in plan:
-            plan[shape] = next(((k, p) for k, p in PARSERS if p.fullmatch(text[rows[0]])), None) if shape else None
-        if (parser := plan[shape]) is not None:
-            out[rows], ok[rows] = _convert(*parser, [text[r] for r in rows], zone[rows], mdy[rows], version)
+            plan[shape] = parsers_of(text[rows[0]])
+        for kind, pattern in plan[shape]:
+            fits = np.array([pattern.fullmatch(text[r]) is not None for r in rows])
+            if fits.any():
+                mine = rows[fits]
+                out[mine], ok[mine] = _convert(kind, pattern, [text[r] for r in mine], zone[mine], mdy[mine], version)
+                rows = rows[~fits]
+            if not len(rows):
+                break
     return pd.Series(pd.array(out, dtype="Int64")).where(pd.Series(ok), pd.NA)
 
 
@@ -199,6 +244,8 @@ def utc_micros(version: str | None = None) -> Callable[[Column, Column, Column],
 
     @F.pandas_udf(LongType())
     def convert(values: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
+        if (here := database_version()) != version:
+            raise RuntimeError(f"time zone database {here} here, {version} on the driver")
         return parse_instants(values, zones, orders, version, plan)
 
     return convert

@@ -75,3 +75,19 @@ def test_table_form(spark, collected):
     got = normalise_timestamps(mails, ["received", "sent"], "entry_id", stores)
     assert collected(got) == [("a", "sent", 1660747256000000)]
     assert normalise_timestamps(mails.limit(0), ["received"], "entry_id", stores).count() == 0
+
+
+def test_order_of_rows_plays_no_part():
+    v = ["2024-01-01 10:00 unknown", "2024-01-01 10:00 CET", "Mon, 5 Feb 2024 10:00:00 GMT", "xyz, 5 abc 2024 10:00:00 GMT"]
+    z, o = pd.Series(["Europe/Warsaw"] * 4), pd.Series(["dmy"] * 4)
+    one = dict(zip(v, parse_instants(pd.Series(v), z, o)))
+    two = dict(zip(v[::-1], parse_instants(pd.Series(v[::-1]), z, o)))
+    assert {k: None if pd.isna(x) else int(x) for k, x in one.items()} == {k: None if pd.isna(x) else int(x) for k, x in two.items()}
+    assert not pd.isna(one[v[1]]) and pd.isna(one[v[0]]) and not pd.isna(one[v[2]])
+
+
+def test_times_beyond_the_tables():
+    v = ["1700-01-01 12:00", "2300-07-01 12:00", "2300-01-01 12:00", "2024-07-01 12:00"]
+    got = parse_instants(pd.Series(v), pd.Series(["Europe/Berlin"] * 4), pd.Series(["dmy"] * 4))
+    hours = [(datetime(int(t[:4]), int(t[5:7]), 1, 12) - datetime(1970, 1, 1)).total_seconds() - int(x) / 1e6 for t, x in zip(v, got)]
+    assert hours[1] == 7200 and hours[2] == 3600 and hours[3] == 7200 and 0 < hours[0] < 3600
