@@ -57,10 +57,9 @@ _DATE = re.compile(r"\d{4}|\d{1,2}[./]\d{1,2}|\d{1,2}:\d{2}")
 _CONTACT = regex.compile(r"@|\d{2,}[ \-./]\d{2,}|^\s*\p{L}{1,6}[.:]\s*[+(\d]|\p{L} [|–,] \p{Lu}|^[\p{L}. ]{3,40} \d{1,4}\w?$")
 _POSTSCRIPT = regex.compile(r"(?i)^[ \t]*(?:p\.? ?s\.?|ps|пс|п\.с\.|p\.p\.s|追伸)(?:[ .:：,–-]|$)")
 _SENTENCE = re.compile(r"[^.!?。！？…]+(?:[.!?。！？…]+|$)|[.!?。！？…]+")
-_NONWORD = re.compile(r"\W+")
-_SKELETON = re.compile(r"[^A-Za-z0-9]+")
 _LETTERS = re.compile(r"[^A-Za-z]+")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}]")
+_RULE_STARTS = frozenset("-_=*~#–—+.·• \t")
 _ENDS = (".", "]", ")", "*")
 
 #: What is known of a line from its place.
@@ -79,20 +78,26 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def _ascii(text: str) -> bytes:
+    """ASCII characters of a text without spaces and question marks, which damage leaves as they are."""
+    return "".join(text.split()).encode("ascii", "ignore").replace(b"?", b"")
+
+
 def line_key(line: str) -> int:
-    """Key of a line that damage, digits and punctuation don't change: its ASCII letters, if it has enough of them."""
-    bare = _LETTERS.sub("", line)
-    return _key(bare.lower() if len(bare) >= 8 else re.sub(r"[\W\d]+", "", line).casefold() or line.strip())
+    """Key of a line that damage and outer punctuation don't change."""
+    bare = _ascii(line).strip(b",.!:;-")
+    return xxhash.xxh64_intdigest(bare.lower() if len(bare) >= 8 else "".join(line.split()).strip(",.!:;、。！-").casefold().encode()) - (1 << 63)
 
 
 def sentence_key(sentence: str) -> int | None:
-    """Key of a sentence; null for one of less than four letters and digits."""
-    bare = _SKELETON.sub("", sentence)
+    """Key of a sentence; null for one of less than four characters."""
+    bare = _ascii(sentence)
     if len(bare) < 12:
-        bare = _NONWORD.sub("", sentence).casefold()
-        if len(bare) < 4:
+        full = "".join(sentence.split())
+        if len(full) < 5:
             return None
-    return _key(bare.lower())
+        bare = full.encode()
+    return xxhash.xxh64_intdigest(bare) - (1 << 63)
 
 
 def name_skeletons(sender: str) -> set[str]:
@@ -102,12 +107,10 @@ def name_skeletons(sender: str) -> set[str]:
 
 def is_own_name(line: str, parts: set[str]) -> bool:
     """Whether a line is nothing but the sender's name or a part of it."""
-    t = line.strip().strip(",.-–— ")
-    if not t or len(t) > 60 or any(c.isdigit() for c in t) or not parts:
+    t = line.strip(",.-–— \t")
+    if not t or len(t) > 60 or t.count(" ") > 3 or not parts:
         return False
     words = t.split()
-    if len(words) > 4:
-        return False
     known = [(_LETTERS.sub("", w).lower() or w.casefold()) in parts for w in words]
     bare = t.replace(" ", "")
     # names without spaces: a part of them is a name as well
@@ -204,13 +207,13 @@ class Parsed:
             if i == 0 or blank[i - 1]:
                 f |= FIRST
             if not f & QUOTED:
-                if _RULE.match(line):
+                if line[0] in _RULE_STARTS and _RULE.match(line):
                     f |= RULE
                 elif is_own_name(line, parts):
                     f |= NAME
-                if len(line) < 80 and _CONTACT.search(line):
+                if len(line) < 60 and _CONTACT.search(line):
                     f |= CONTACT
-                if _POSTSCRIPT.match(line):
+                if line.lstrip()[:1] in "pPпП追" and _POSTSCRIPT.match(line):
                     f |= POSTSCRIPT
                 if f & (INTRO | SAYS):
                     more = _intro_key(line)
@@ -219,7 +222,7 @@ class Parsed:
             self.flags.append(f)
             self.keys.append(0 if f & (QUOTED | RULE) else line_key(line))
             self.more.append(more)
-            self.sizes.append(len(_NONWORD.sub("", line)))
+            self.sizes.append(len(line) - line.count(" "))
         self.told: set[int] = set()
         self.own: list[int] = []  # sentences with unmarked lines, 0 between paragraphs
         self.pieces: list[tuple[int, int, int]] = []  # (sentence in own, line, letters)
@@ -260,12 +263,12 @@ class Parsed:
             j, p = k, s
             while p < e:
                 q = min(e, ends[j])
-                self.pieces.append((len(self.own), a + j, len(_NONWORD.sub("", text[p:q]))))
+                self.pieces.append((len(self.own), a + j, q - p - text.count(" ", p, q)))
                 p, j = q, j + 1
             self.own.append(key)
 
-    def seen(self) -> list[tuple[int, int]]:
-        """(key, what is seen of the line) of each unmarked line, and of the words of introductions and headers."""
+    def seen(self) -> list[tuple[int, int, int]]:
+        """(line, key, what is seen of it) of each unmarked line, and of the words of introductions and headers."""
         out = []
         mine = [k for k, f in enumerate(self.flags) if not f & MARKED]
         texts = [k for k in mine if not self.flags[k] & RULE]
@@ -278,17 +281,18 @@ class Parsed:
             nxt = texts[j + 1] if j + 1 < len(texts) else None
             if nxt is not None and self.flags[nxt] & NAME and not f & NAME and (f | ~self.flags[nxt]) & FIRST:
                 bits |= BEFORE
-            if below and not f & POSTSCRIPT:
+            # the last line of all speaks for a closing line as well, unless it is the end of a wrapped paragraph
+            if (below or j and nxt is None and (f & FIRST or self.sizes[k - 1] < 40)) and not f & POSTSCRIPT:
                 bits |= BELOW
             if first and nxt is not None:
                 bits |= ABOVE
-            out.append((self.keys[k], bits))
+            out.append((k, self.keys[k], bits))
             if f & NAME and j:
                 below = True
             first = False
         for k, f in enumerate(self.flags):
             if self.more[k]:
-                out.append((self.more[k], SURE if f & MARKED else 0))
+                out.append((k, self.more[k], SURE if f & MARKED else 0))
         return out
 
 
@@ -300,14 +304,14 @@ def _split_runs(flags: list[int], start: int, end: int) -> Iterator[tuple[int, i
             a = k
 
 
-def closing_lines(p_flags: list[int], keys: list[int], more: list[int], known: dict[int, int], ends: list[bool]) -> list[bool]:
-    """For each line whether its marks or the closing block say that it isn't newly written; ``known`` are the learned lines."""
+def closing_lines(p_flags: list[int], known: dict[int, int], ends: list[bool]) -> list[bool]:
+    """For each line whether its marks or the closing block say that it isn't newly written; ``known`` are the kinds of learned lines."""
     n = len(p_flags)
     old = [bool(f & MARKED) for f in p_flags]
-    get = lambda k: known.get(keys[k], 0) if keys[k] else 0
+    get = lambda k: known.get(k, 0)
     for k in range(n):
         f = p_flags[k]
-        if old[k] or not f & (SAYS | HEAD | INTRO) or not known.get(more[k], 0) & WORD:
+        if old[k] or not f & (SAYS | HEAD | INTRO) or not get(k) & WORD:
             continue
         old[k] = True
         if f & INTRO:
@@ -363,37 +367,41 @@ def _closing_like(flags: int, kind: int, alone: bool, after: int) -> bool:
     return bool(flags & (NAME | CONTACT) or kind & (AFTER | FORMULA))
 
 
-def pasted_lines(own: list[int], pieces: list[tuple[int, int, int]], sizes: list[int], shares: dict[int, float], greets: set[int]) -> list[int]:
-    """Lines most of which lie in merged intervals of matched sentences; ``shares`` has the chance of each matched sentence.
+def pasted_lines(breaks: set[int], pieces: list[tuple[int, int, int]], sizes: list[int], shares: dict[int, float], greets: set[int]) -> list[int]:
+    """Lines most of which lie in merged intervals of matched sentences.
+
+    ``pieces`` are (sentence, line, letters), ``breaks`` the places between paragraphs among the
+    sentences, ``shares`` the chance of each matched sentence.
 
     The chance of an interval counts as often as there are sentences that may begin one.  A sentence
     alone counts if it is a whole paragraph.  ``greets`` are the lines that begin new
     text as paragraphs of their own: greetings are new, whatever was said before.
     """
-    hit = [s != 0 and s in shares for s in own]
+    n = 1 + max([s for s, _, _ in pieces] + [*breaks], default=-1)
+    hit = [s in shares for s in range(n)]
     if greets:
         for s, line, _ in pieces:
             if line in greets:
                 hit[s] = False
-    keep = [False] * len(own)
-    asked = sum(s != 0 for s in own)
+    keep = [False] * n
+    asked = n - len(breaks)
     i = 0
-    while i < len(own):
+    while i < n:
         if not hit[i]:
             i += 1
             continue
         j, chance = i, 1.0
-        while j < len(own) and (hit[j] or own[j] == 0 and j + 1 < len(own) and hit[j + 1]):
-            if own[j]:
-                chance *= shares[own[j]]
+        while j < n and (hit[j] or j in breaks and j + 1 < n and hit[j + 1]):
+            if j not in breaks:
+                chance *= shares[j]
             j += 1
         if chance * asked <= CHANCE:
             a = i
             while a < j:
                 b = a
-                while b < j and own[b]:
+                while b < j and b not in breaks:
                     b += 1
-                if b - a > 1 or (a == 0 or own[a - 1] == 0) and (b == len(own) or own[b] == 0):
+                if b - a > 1 or (a == 0 or a - 1 in breaks) and (b == n or b in breaks):
                     keep[a:b] = [True] * (b - a)
                 a = b + 1
         i = j
@@ -419,97 +427,139 @@ def _rate_floor(k, n):
     return (k + z2 / 2 - Z * F.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
 
 
+#: Keys that occur more than once are sent to the tasks up to so many (under 20 MB), and joined beyond.
+SENT_KEYS = 200_000
+
+
+def one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """The least row of each key.  Only keys that occur more than once are brought together, all other rows stay where they are."""
+    again = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key))
+    few = again.count() <= SENT_KEYS
+    mark = F.broadcast(again) if few else again
+    rest = [c for c in rows.columns if c != key]
+    least = rows.join(mark, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+    return rows.join(mark, key, "left_anti").select(*rows.columns).unionByName(least)
+
+
 def parsed_mails(mails: DataFrame, stores: DataFrame) -> DataFrame:
     """Each mail's lines and sentences as arrays, with its instant ``t`` and the instant ``by`` which its text is told by."""
     zones = stores.groupBy("store_id").agg(F.max("zone_name").alias("zone_name"), F.max("date_order").alias("date_order"))
     to_us = utc_micros()
     column = lambda c: F.col(c) if c in mails.columns else F.lit(None).cast("string")
     once = ["store_id", "conversation_id", "sender_name", "sender_email", "body", "sent", "received", "harvested_at"]
-    rows = mails.select("entry_id", F.struct(*[column(c).alias(c) for c in once]).alias("r")).filter("entry_id IS NOT NULL AND length(r.body) > 0")
-    rows = rows.groupBy("entry_id").agg(F.min("r").alias("r")).select("entry_id", "r.*")
+    rows = one_of_each(mails.select("entry_id", *[column(c).alias(c) for c in once]).filter("entry_id IS NOT NULL AND length(body) > 0"), "entry_id")
     sent, received, harvested = (F.coalesce(to_us(c, "zone_name", "date_order"), F.lit(0).cast("long")) for c in ("sent", "received", "harvested_at"))
     own = F.when(sent > 0, sent).otherwise(received)
     # a mail may be harvested weeks late: that time dates its text for later mails, but doesn't make it later than others
     timed = rows.join(zones, "store_id", "left").withColumn("t", own).withColumn("by", F.when(own > 0, own).otherwise(harvested))
     teller = F.xxhash64(F.lower(F.coalesce(F.nullif("sender_email", F.lit("")), "sender_name", F.lit(""))))
+    columns = ["row", "entry_id", "thread", "teller", "t", "by", "numbers", "lines", "pieces", "seen_at", "seen", "bits", "told", "mine", "mine_at", "breaks"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for e, c, s, who, b, t, by in zip(pdf["entry_id"], pdf["conversation_id"], pdf["sender_name"], pdf["teller"], pdf["body"], pdf["t"], pdf["by"]):
+            for row, e, c, s, who, b, t, by in pdf.itertuples(index=False):
                 p = Parsed(b, s or "")
                 lines = b.replace("\r", "").split("\n")
-                mine = set(p.own) if c else set()
                 seen = p.seen()
-                piece = list(zip(*p.pieces)) if p.pieces and c else ((), (), ())
-                ends = [lines[i - 1].rstrip().endswith(_ENDS) and lines[i - 1].count(" ") >= 4 for i in p.numbers]
-                out.append((e, c, who, t, by, p.numbers, p.flags, p.keys, p.more, p.sizes, ends, [k for k, _ in seen], [x for _, x in seen], list(p.told | {0}) if c else [], list(mine | {0}) if c else [], p.own if c else [], *piece))
-            yield pd.DataFrame(out, columns=["entry_id", "conversation_id", "teller", "t", "by", "numbers", "flags", "keys", "more", "sizes", "ends", "seen", "bits", "told", "mine", "own", "piece_of", "piece_line", "piece_size"])
+                packed = [f | (lines[i - 1].rstrip().endswith(_ENDS) and lines[i - 1].count(" ") >= 4) << 10 | z << 11 for i, f, z in zip(p.numbers, p.flags, p.sizes)]
+                threaded = not pd.isna(c)
+                pieces = [k << 48 | line << 24 | n for k, line, n in p.pieces] if threaded else []
+                mine = dict((x, i) for i, x in reversed(list(enumerate(p.own)))) if threaded else {}
+                mine.pop(0, None)
+                places = [(x, i) for i, x in enumerate(p.own) if x] if threaded else []
+                out.append((row, e, c, who, t, by, p.numbers, packed, pieces, [k for k, _, _ in seen], [x for _, x, _ in seen], [y for _, _, y in seen], list(p.told - mine.keys()) if threaded else [], [x for x, _ in places], [i for _, i in places], [i for i, x in enumerate(p.own) if not x] if threaded else []))
+            frame = pd.DataFrame(out, columns=columns)
+            frame["thread"] = frame["thread"].astype("Int64")
+            yield frame
 
-    schema = "entry_id string, conversation_id string, teller long, t long, by long, numbers array<int>, flags array<int>, keys array<long>, more array<long>, sizes array<int>, ends array<boolean>, seen array<long>, bits array<int>, told array<long>, mine array<long>, own array<long>, piece_of array<int>, piece_line array<int>, piece_size array<int>"
-    return timed.select("entry_id", "conversation_id", "sender_name", teller.alias("teller"), "body", "t", "by").mapInPandas(scan, schema)
+    schema = "row long, entry_id string, thread long, teller long, t long, by long, numbers array<int>, lines array<long>, pieces array<long>, seen_at array<int>, seen array<long>, bits array<int>, told array<long>, mine array<long>, mine_at array<int>, breaks array<int>"
+    thread = F.when(F.length("conversation_id") > 0, F.xxhash64("conversation_id"))
+    return timed.select(F.monotonically_increasing_id().alias("row"), "entry_id", thread.alias("thread"), "sender_name", teller.alias("teller"), "body", "t", "by").mapInPandas(scan, schema)
+
+
+#: Learned lines are sent to the tasks up to so many rows (24 bytes each), and joined beyond.
+SENT_ROWS = 300_000
 
 
 def learned_lines(parsed: DataFrame) -> DataFrame:
     """(teller, key, kind) of the closing lines, banners and words of introductions; a null teller stands for all."""
     x = parsed.select("teller", F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
     count = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
-    by_teller = x.groupBy("teller", "key").agg(F.count(F.lit(1)).alias("n"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
-    by_teller = cut(by_teller.filter("before + below + above + sure > 0 OR n > 1"))
+    by_teller = x.groupBy("key", "teller").agg(F.count(F.lit(1)).alias("n"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
     overall = by_teller.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"))
-    some = F.col("tellers") > 1
     kind = sum(F.when(_rate_floor(F.col(c), F.col("n")) > RATE, bit).otherwise(0) for c, bit in (("before", FORMULA), ("below", AFTER), ("above", BANNER), ("sure", WORD)))
-    general = overall.filter(some & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))).select(F.lit(None).cast("long").alias("teller"), "key", kind.cast("int").alias("kind")).filter("kind > 0")
-    of_teller = by_teller.filter("n > 1 AND below = n").select("teller", "key", F.lit(AFTER).alias("kind"))
-    return general.unionByName(of_teller)
+    general = overall.filter((F.col("tellers") > 1) & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))).select(F.lit(None).cast("long").alias("teller"), "key", kind.cast("int").alias("kind")).filter("kind > 0")
+    return general.unionByName(by_teller.filter("n > 1 AND below = n").select("teller", "key", F.lit(AFTER).alias("kind")))
+
+
+def known_lines(parsed: DataFrame) -> DataFrame:
+    """(row, at, kind): the learned lines of each mail."""
+    learned = cut(learned_lines(parsed))
+    sent = F.broadcast if learned.count() <= SENT_ROWS else (lambda df: df)
+    lines = parsed.select("row", "teller", F.explode(F.arrays_zip("seen", "seen_at")).alias("x")).select("row", "teller", F.col("x.seen").alias("key"), F.col("x.seen_at").alias("at"))
+    general = learned.filter("teller IS NULL").select("key", F.col("kind").alias("general"))
+    special = learned.filter("teller IS NOT NULL").select("teller", "key", F.col("kind").alias("special"))
+    both = lines.join(sent(general), "key", "left").join(sent(special), ["teller", "key"], "left")
+    return both.select("row", "at", F.coalesce("general", F.lit(0)).bitwiseOR(F.coalesce("special", F.lit(0))).alias("kind")).filter("kind > 0")
+
+
+#: The first instant of a sentence, in milliseconds, and 20 bits of its teller share one number.
+_TELLER = 1 << 20
 
 
 def thread_hits(parsed: DataFrame) -> DataFrame:
-    """(entry_id, hits array<struct<key, share>>): sentences of each mail that its thread told before, with their chance."""
-    threads = parsed.filter("length(conversation_id) > 0")
-    own = F.transform("told", lambda k: F.struct(k.alias("key"), F.array_contains("mine", k).cast("int").alias("mine")))
-    told = threads.filter("by > 0").select("conversation_id", "by", "teller", F.explode(own).alias("x")).select("conversation_id", "by", "teller", "x.key", "x.mine")
+    """(row, at, share): sentences of each mail that its thread told before, by place, with their chance."""
+    threads = parsed.filter("thread IS NOT NULL")
+    first = F.shiftleft(F.floor(F.col("by") / 1000), 20).bitwiseOR(F.pmod("teller", F.lit(_TELLER)))
+    told = threads.filter("by > 0").select("thread", first.alias("first"), F.explode(F.concat(F.array(F.lit(0).cast("long")), "told", F.array_distinct("mine"))).alias("key"), "mine")
+    told = told.select("thread", "key", "first", ((F.col("key") == 0) | F.array_contains("mine", F.col("key"))).cast("int").alias("k"))
     # key 0 is told by every message of the thread: it counts them
-    table = cut(told.groupBy("conversation_id", "key").agg(F.min(F.struct("by", "teller")).alias("first"), F.min("by").alias("since"), F.max("teller").alias("other"), F.min("teller").alias("one"), F.sum("mine").alias("k")))
-    size = table.filter("key = 0").select("conversation_id", F.col("k").alias("messages"))
+    table = cut(told.groupBy("thread", "key").agg(F.min("first").alias("first"), F.sum("k").alias("k")))
+    size = table.filter("key = 0").select("thread", F.col("k").alias("messages"))
     threads_of = table.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("threads"))
     total = size.agg(F.count(F.lit(1)).alias("all"))
-    asked = threads.filter("t > 0").select("entry_id", "conversation_id", "t", "teller", F.explode("mine").alias("key")).filter("key <> 0")
-    late = F.when(F.col("first.teller") == F.col("asked_by"), F.lit(COPY_US)).otherwise(F.lit(0))
-    held = asked.withColumnRenamed("teller", "asked_by").join(table.filter("key <> 0"), ["conversation_id", "key"]).filter(F.col("since") + late < F.col("t")).select("entry_id", "conversation_id", "key", "k")
+    when = F.shiftleft(F.floor(F.col("t") / 1000), 20).bitwiseOR(F.pmod("teller", F.lit(_TELLER)))
+    asked = threads.filter("t > 0").select("row", "thread", when.alias("when"), F.explode(F.arrays_zip("mine", "mine_at")).alias("x")).select("row", "thread", "when", F.col("x.mine").alias("key"), F.col("x.mine_at").alias("at"))
+    copies = F.when(F.pmod("first", F.lit(_TELLER)) == F.pmod("when", F.lit(_TELLER)), COPY_US // 1000).otherwise(0)
+    held = asked.join(table.filter("key <> 0"), ["thread", "key"]).filter(F.shiftright("first", 20) + copies < F.shiftright("when", 20)).select("row", "thread", "key", "at", "k")
     share = F.greatest((F.col("threads") - 1) / F.greatest(F.col("all"), F.lit(1)), (F.col("k") - 2) / F.greatest(F.col("messages"), F.lit(1)), F.lit(0.0))
-    rated = held.join(threads_of, "key").join(size, "conversation_id").join(F.broadcast(total))  # one row
-    return rated.groupBy("entry_id").agg(F.collect_list(F.struct("key", share.alias("share"))).alias("hits"))
+    return held.join(threads_of, "key").join(size, "thread").join(F.broadcast(total)).select("row", "at", share.alias("share"))  # one row
 
 
 def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
     """(entry_id, line_no) of the non-blank lines of body that aren't newly written by the sender."""
     parsed = cut(parsed_mails(mails, stores))
-    learned = cut(learned_lines(parsed))
-    lines = parsed.select("entry_id", "teller", F.explode(F.array_distinct("seen")).alias("key"))
-    general = lines.join(learned.filter("teller IS NULL").select("key", "kind"), "key").select("entry_id", "key", "kind")
-    special = lines.join(learned.filter("teller IS NOT NULL"), ["teller", "key"]).select("entry_id", "key", "kind")
-    known = general.unionByName(special).groupBy("entry_id").agg(F.collect_list(F.struct("key", "kind")).alias("known"))
+    known = known_lines(parsed).select("row", "at", "kind", F.lit(None).cast("float").alias("share"))
+    hits = thread_hits(parsed).select("row", "at", F.lit(0).alias("kind"), F.col("share").cast("float").alias("share"))
+    found = known.unionByName(hits).groupBy("row").agg(F.collect_list(F.struct("at", "kind", "share")).alias("found"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids: list[str] = []
             numbers: list[int] = []
-            for e, no, flags, keys, more, sizes, ends, own, p_of, p_line, p_size, known_lines, hits in pdf.itertuples(index=False):
-                table: dict[int, int] = {}
-                for x in known_lines if known_lines is not None else ():
-                    table[x["key"]] = table.get(x["key"], 0) | x["kind"]
-                old = closing_lines(flags.tolist(), keys.tolist(), more.tolist(), table, ends)
-                if hits is not None:
-                    shares = {x["key"]: x["share"] for x in hits}
-                    for k in pasted_lines(own.tolist(), list(zip(p_of.tolist(), p_line.tolist(), p_size.tolist())), sizes, shares, greetings(flags.tolist(), sizes)):
+            for e, no, packed, pieces, breaks, found_here in pdf.itertuples(index=False):
+                packed = packed.tolist()
+                flags = [x & 1023 for x in packed]
+                kinds: dict[int, int] = {}
+                shares: dict[int, float] = {}
+                for x in found_here if found_here is not None else ():
+                    if x["kind"]:
+                        kinds[x["at"]] = kinds.get(x["at"], 0) | x["kind"]
+                    else:
+                        shares[x["at"]] = x["share"]
+                old = closing_lines(flags, kinds, [bool(x & 1024) for x in packed])
+                if shares:
+                    sizes = [x >> 11 for x in packed]
+                    parts = [(x >> 48, x >> 24 & 0xFFFFFF, x & 0xFFFFFF) for x in pieces.tolist()]
+                    for k in pasted_lines(set(breaks.tolist()), parts, sizes, shares, greetings(flags, sizes)):
                         old[k] = True
                 got = no[np.array(old, bool)]
                 ids += [e] * len(got)
                 numbers += got.tolist()
             yield pd.DataFrame({"entry_id": ids, "line_no": np.array(numbers, np.int32)})
 
-    wide = parsed.select("entry_id", "numbers", "flags", "keys", "more", "sizes", "ends", "own", "piece_of", "piece_line", "piece_size").join(known, "entry_id", "left").join(thread_hits(parsed), "entry_id", "left")
+    wide = parsed.select("row", "entry_id", "numbers", "lines", "pieces", "breaks").join(found, "row", "left").drop("row")
     return wide.mapInPandas(decide, "entry_id string, line_no int")
 
 
