@@ -86,6 +86,15 @@ def page_changes(pages: DataFrame) -> DataFrame:
     )
 
 
+def set_algebra(added: DataFrame, labels_added: DataFrame | None, labels_removed: DataFrame | None, deleted: DataFrame) -> DataFrame:
+    """(account_id, id): what a listing upserts: everything added or relabelled, without what it deletes."""
+    out = added.select("account_id", "id")
+    for more in (labels_added, labels_removed):
+        if more is not None:
+            out = out.unionByName(more.select("account_id", "id"))
+    return out.filter("length(trim(id)) > 0").distinct().join(deleted.select("account_id", "id"), ["account_id", "id"], "left_anti")
+
+
 def replay_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str], seq: Sequence[str], values: Sequence[str] = (), op: str = "op") -> DataFrame:
     """Rows of ``base`` after ``changes`` (columns keys, seq, op 'U' or 'D', values; null = unchanged)."""
     keys, seq, values = list(keys), list(seq), list(values)

@@ -9,6 +9,7 @@ lengths and one row of totals; payload columns are joined after the limit.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
@@ -48,8 +49,12 @@ def noise_filter(mode: str) -> Column:
     return {"alerts": F.col("kind") == "alert", "all": F.lit(True)}.get(mode, F.col("kind").isNull() | (F.col("kind") != "alert"))
 
 
-def search_mails(mails: DataFrame, date_from: str | None = None, date_to: str | None = None, sender: str | None = None, folder: str | None = None, noise: str = "mail", limit: int = 25) -> DataFrame:
-    """Structured mail search, newest first; only the active filters are in the plan."""
+def search_mails(mails: DataFrame, date_from: str | None = None, date_to: str | None = None, sender: str | None = None, folder: str | None = None, noise: str = "mail", limit: int = 25, hits: DataFrame | None = None, attachments: bool = False) -> DataFrame:
+    """Mail search: newest first, or best first by the scores of ``hits`` (doc_id, score); only the active filters are in the plan.
+
+    Only keys and what is filtered on go through the join and the order; bodies are read for the
+    rows that are left.  A limit below 0 is none.
+    """
     parts: list[Column] = []
     if lo := date_bound(date_from):
         parts.append(F.col("received") >= lo)
@@ -59,15 +64,27 @@ def search_mails(mails: DataFrame, date_from: str | None = None, date_to: str |
         s = ascii_lower(F.lit(sender))
         parts.append(ascii_lower(F.col("sender_name")).contains(s) | ascii_lower(F.col("sender_email")).contains(s))
     if folder:
-        parts.append(ascii_lower(F.col("folder_path")).startswith(ascii_lower(F.lit(folder))))
+        parts.append(ascii_lower(F.col("folder_leaf")).startswith(ascii_lower(F.lit(folder))))
+    if attachments:
+        parts.append(F.col("has_attachments"))
     if noise != "all":
         parts.append(noise_filter(noise))
     found = mails.filter(reduce(lambda a, b: a & b, parts)) if parts else mails
-    found = found.orderBy(F.desc("received"), "entry_id")
-    found = found.limit(limit) if limit >= 0 else found
-    return found.select(
+    # repeated rows of a mail count once: the greatest by what is shown
+    shown = F.struct("received", "subject", "sender_name", "sender_email", "folder_leaf")
+    found = found.groupBy("entry_id").agg(F.max(shown).alias("m")).select("entry_id", "m.*")
+    if hits is not None:
+        found = found.join(hits.select(F.col("doc_id").alias("entry_id"), F.round("score", 6).alias("score")), "entry_id")
+    order = [F.asc("score"), F.asc("entry_id")] if hits is not None else [F.desc("received"), F.asc("entry_id")]
+    found = found.orderBy(*order)
+    if limit >= 0:
+        found = found.limit(limit)
+    bodies = mails.select("entry_id", F.substring(F.translate("body", "\r\n", "  "), 1, 160).alias("snippet"))
+    bodies = bodies.join(F.broadcast(found.select("entry_id")) if 0 <= limit <= 10_000 else found.select("entry_id"), "entry_id", "left_semi").groupBy("entry_id").agg(F.max("snippet").alias("snippet"))
+    out = found.join(bodies, "entry_id", "left").orderBy(*order)
+    return out.select(
         "entry_id", "received", F.when(F.lower("folder_leaf").startswith("sent"), F.lit("->")).otherwise(F.lit("<-")).alias("direction"),
-        sender_display().alias("sender"), "subject", F.trim(F.substring(F.translate("body", "\r\n", "  "), 1, 160)).alias("snippet"),
+        sender_display().alias("sender"), "subject", F.trim("snippet").alias("snippet"), *(["score"] if hits is not None else []),
     )
 
 
@@ -239,6 +256,20 @@ def build_postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), cols.alias("c")).select("doc_id", "c.col", F.posexplode("c.t").alias("pos", "term"))
 
 
+BUCKETS, LEAD = 64, 3
+
+
+def bucket_of(term: Column) -> Column:
+    """Bucket of a term by its first letters, so that a prefix of as many letters lies in one bucket."""
+    return F.pmod(F.crc32(F.left(term, F.lit(LEAD)).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def in_bucket(term: str, prefix: bool = False) -> Column:
+    if prefix and len(term) < LEAD:
+        return F.lit(True)
+    return F.col("bucket") == zlib.crc32(term[:LEAD].encode()) % BUCKETS
+
+
 def phrase_hits(postings: DataFrame, p: Phrase) -> DataFrame:
     """(doc_id, col, pos): starts of a phrase."""
     src = postings
@@ -248,6 +279,9 @@ def phrase_hits(postings: DataFrame, p: Phrase) -> DataFrame:
     if not p.terms:
         return src.select("doc_id", "col", "pos").limit(0)
     want = lambda k: F.col("term").startswith(p.terms[k]) if p.prefix and k == len(p.terms) - 1 else F.col("term") == p.terms[k]
+    if "bucket" in postings.columns:
+        plain = want
+        want = lambda k: plain(k) & in_bucket(p.terms[k], p.prefix and k == len(p.terms) - 1)
     hits = src.filter(want(0)).select("doc_id", "col", "pos")
     if p.first:
         hits = hits.filter("pos = 0")
@@ -282,10 +316,11 @@ def all_phrases(node) -> list[Phrase]:
     return ([node] if node.terms else []) if isinstance(node, Phrase) else [p for k in (node.kids[:1] if node.op == "not" else node.kids) for p in all_phrases(k)]
 
 
-def bm25(postings: DataFrame, keys: DataFrame, node, weights: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, score): more negative is better; ``keys`` holds every indexed doc_id, empty ones too."""
-    lens = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("len"))
-    totals = keys.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(lens.agg(F.sum("len").alias("all"))))  # one row each
+def bm25(postings: DataFrame, lens: DataFrame, node, weights: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, score): more negative is better; ``lens`` has (doc_id, len) of every indexed document, empty ones too."""
+    totals = lens.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("all"))
+    if not all_phrases(node):
+        return lens.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     w = F.lit(1.0) if not weights else F.coalesce(*[F.when(F.col("col") == c, F.lit(float(v))) for c, v in weights.items()], F.lit(1.0))
     tf = reduce(
         DataFrame.unionByName,

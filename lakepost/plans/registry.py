@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakepost.functions.text import TOKEN, ascii_lower, clock_label, fold_pairs, html_to_text, place_label, tokens
-from lakepost.operators import merge, rules, search, vector
-from lakepost.session import cut, table
+from lakepost.operators import fulltext, merge, rules, search, semantic, vector
+from lakepost.session import ensure_checkpoint_dir, path_exists, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,16 +27,17 @@ def query(name: str, sql: str | None = None):
 
 
 MAIL_SQL = """SELECT entry_id, received, CASE WHEN lower(folder_leaf) LIKE 'sent%' THEN '->' ELSE '<-' END AS direction, coalesce(nullif(sender_name,''),sender_email) AS sender, subject,
- trim(substring(translate(body, chr(13)||chr(10), '  '),1,160)) AS snippet FROM (SELECT DISTINCT * FROM mails) m WHERE {where} ORDER BY received DESC NULLS LAST, entry_id LIMIT {limit}"""
+ trim(substring(translate(body, chr(13)||chr(10), '  '),1,160)) AS snippet FROM (SELECT DISTINCT entry_id, received, subject, sender_name, sender_email, folder_leaf, body, kind FROM mails) m WHERE {where} ORDER BY received DESC NULLS LAST, entry_id LIMIT {limit}"""
 
 
-def _mails(s, d):
-    return table(s, d, "mails").distinct()
+@query("mail_structured_search", MAIL_SQL.format(where="received >= '2023-01-01 00:00:00' AND received < '2024-07-01 00:00:00' AND (contains(lower(sender_name),'ski') OR contains(lower(sender_email),'ski')) AND starts_with(lower(folder_leaf),'inbox') AND (kind IS NULL OR kind <> 'alert')", limit=200))
+def _(s, d):
+    return search.search_mails(table(s, d, "mails"), "2023-01-01", "2024-06-30", "ski", "inbox", limit=200)
 
 
-@query("mail_structured_search", MAIL_SQL.format(where="received >= '2023-01-01 00:00:00' AND received < '2024-07-01 00:00:00' AND (contains(lower(sender_name),'ski') OR contains(lower(sender_email),'ski')) AND starts_with(folder_path,'gmail://') AND (kind IS NULL OR kind <> 'alert')", limit=200))
+@query("mail_with_attachments", "SELECT entry_id, received FROM (SELECT DISTINCT entry_id, received, kind, has_attachments FROM mails) WHERE has_attachments AND (kind IS NULL OR kind <> 'alert') ORDER BY received DESC NULLS LAST, entry_id LIMIT 100")
 def _(s, d):
-    return search.search_mails(_mails(s, d), "2023-01-01", "2024-06-30", "ski", "gmail://", limit=200)
+    return search.search_mails(table(s, d, "mails"), limit=100, attachments=True).select("entry_id", "received")
 
 
 @query("mail_date_whole_day", "SELECT entry_id, received FROM (SELECT DISTINCT entry_id, received FROM mails) WHERE received >= '2024-03-01 00:00:00' AND received < '2024-03-11 00:00:00'")
@@ -49,9 +51,9 @@ def _(s, d):
     return table(s, d, "mails").filter(ascii_lower(F.col("sender_email")).contains("_ma")).select("entry_id", "sender_email").distinct()
 
 
-@query("folder_prefix_filter", "SELECT DISTINCT entry_id, folder_path FROM mails WHERE starts_with(translate(folder_path,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'imap:')")
+@query("folder_prefix_filter", "SELECT DISTINCT entry_id, folder_path FROM mails WHERE starts_with(translate(folder_leaf,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'in')")
 def _(s, d):
-    return table(s, d, "mails").filter(ascii_lower(F.col("folder_path")).startswith("imap:")).select("entry_id", "folder_path").distinct()
+    return table(s, d, "mails").filter(ascii_lower(F.col("folder_leaf")).startswith("in")).select("entry_id", "folder_path").distinct()
 
 
 for _mode, _where in (("mail", "kind IS NULL OR kind <> 'alert'"), ("alerts", "kind = 'alert'"), ("all", "TRUE")):
@@ -116,10 +118,29 @@ POSTINGS = "docs AS (SELECT DISTINCT doc_id, title, text FROM documents), tk AS
 COLUMNS = ["title", "text"]
 
 
-def _postings(s, d):
-    docs = table(s, d, "documents").select("doc_id", *COLUMNS).distinct()
-    # the index is written once and read by every phrase and statistic of the query
-    return cut(search.build_postings(docs, "doc_id", COLUMNS)), docs.select("doc_id")
+def _stored(s, d, name: str, rows, key: str, columns: list[str]) -> fulltext.TextIndex:
+    """The index of a data folder: written by the first query that asks for it, read by all others."""
+    root = f"{ensure_checkpoint_dir(s)}/lakepost-index/{name}-{zlib.crc32(d.encode()):08x}-{s.sparkContext.applicationId}"
+    index = fulltext.TextIndex(s, root, tuple(columns))
+    if not path_exists(s, f"{root}/gone/gen=0/_SUCCESS"):
+        index.write(rows(), key)
+    return index
+
+
+def _index(s, d):
+    return _stored(s, d, "documents", lambda: table(s, d, "documents").select("doc_id", *COLUMNS).distinct(), "doc_id", COLUMNS)
+
+
+def _mail_index(s, d):
+    return _stored(s, d, "mails", lambda: fulltext.mail_rows(table(s, d, "mails")), "entry_id", fulltext.MAIL_COLUMNS)
+
+
+def _segment_rows(s, d):
+    return fulltext.segment_rows(table(s, d, "content_segments"), table(s, d, "content_documents"), table(s, d, "mails"))
+
+
+def _segment_index(s, d):
+    return _stored(s, d, "segments", lambda: _segment_rows(s, d), "segment_id", list(fulltext.CONTENT_WEIGHTS))
 
 
 @query("tokenize_fold", f"WITH {POSTINGS} SELECT term, count(*) AS n FROM p GROUP BY term")
@@ -143,8 +164,8 @@ def _bm25_sql(phrases: list[str], limit: int, weights: str = "1.0", match: str |
 
 
 def _ranked(s, d, node, limit, weights=None):
-    postings, keys = _postings(s, d)
-    return search.bm25(postings, keys, node, weights).select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(limit)
+    index = _index(s, d)
+    return search.bm25(index.postings(), index.lengths(), node, weights).select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(limit)
 
 
 @query("fts_single_term_bm25", _bm25_sql([_phrase_sql(0, ["archiwum"])], 50))
@@ -168,7 +189,7 @@ def _(s, d):
 
 
 def _raw(s, d, text):
-    return search.matching(_postings(s, d)[0], search.RawParser(text).parse())
+    return _index(s, d).matches(text)
 
 
 @query("fts_prefix", f"WITH {POSTINGS} SELECT DISTINCT doc_id FROM p WHERE starts_with(term,'archiw')")
@@ -198,12 +219,73 @@ def _(s, d):
 
 @query("fts_snippet")
 def _(s, d):
-    postings, keys = _postings(s, d)
-    node = search.sanitised("password budget")
-    top = search.top_hits(search.bm25(postings, keys, node), 25)
+    index, node = _index(s, d), search.sanitised("password budget")
+    top = search.top_hits(search.bm25(index.postings(), index.lengths(), node), 25)
     terms = {t for p in search.all_phrases(node) for t in p.terms}
-    cut = F.udf(lambda x: search.make_snippet(x, terms), "string", useArrow=True)
-    return table(s, d, "documents").select("doc_id", "text").join(F.broadcast(top), "doc_id").select("doc_id", "score", cut("text").alias("snippet"))
+    snippet = F.udf(lambda x: search.make_snippet(x, terms), "string", useArrow=True)
+    docs = table(s, d, "documents").select("doc_id", "text").join(F.broadcast(top), "doc_id").groupBy("doc_id", "score").agg(F.max("text").alias("text"))  # 25 rows
+    return docs.select("doc_id", "score", snippet("text").alias("snippet"))
+
+
+# full text over mails and segments
+
+_TOK = lambda c: TOK.replace("{c}", c)
+_MAIL_DOCS = "docs AS (SELECT entry_id AS doc_id, coalesce(m.subject,'') AS subject, coalesce(m.body,'') AS body, coalesce(m.sender_name,'')||' '||coalesce(m.sender_email,'') AS sender, coalesce(m.to_recips,'')||' '||coalesce(m.cc_recips,'') AS recips FROM (SELECT DISTINCT entry_id, subject, body, sender_name, sender_email, to_recips, cc_recips FROM mails) m)"
+_SEG_DOCS = "docs AS (SELECT segment_id AS doc_id, received, coalesce(m.subject,'') AS subject, coalesce(sender_name,'')||' '||coalesce(sender_email,'') AS sender, coalesce(to_recips,'')||' '||coalesce(cc_recips,'') AS recipients, coalesce(filename,'') AS filename, clean_text AS text FROM (SELECT DISTINCT segment_id, document_id, clean_text FROM content_segments) s JOIN content_documents d USING (document_id) JOIN (SELECT DISTINCT entry_id, received, subject, sender_name, sender_email, to_recips, cc_recips FROM mails) m ON m.entry_id = d.mail_entry_id)"
+_MAIL_P = _MAIL_DOCS + ", tk AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS col, {_TOK(c)} AS t FROM docs" for c in fulltext.MAIL_COLUMNS) + "), p AS (SELECT doc_id, col, unnest(generate_series(0, len(t)-1)) AS pos, unnest(t) AS term FROM tk WHERE len(t) > 0)"
+_SEG_P = _SEG_DOCS + ", tk AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS col, {_TOK(c)} AS t FROM docs" for c in fulltext.CONTENT_WEIGHTS) + "), p AS (SELECT doc_id, col, unnest(generate_series(0, len(t)-1)) AS pos, unnest(t) AS term FROM tk WHERE len(t) > 0)"
+_SEG_W = "CASE col WHEN 'subject' THEN 10.0 WHEN 'sender' THEN 5.0 WHEN 'recipients' THEN 2.0 WHEN 'filename' THEN 8.0 ELSE 1.0 END"
+
+
+def _scored_sql(ctes: str, phrases: list[str], weights: str, tail: str) -> str:
+    return f"""WITH {ctes}, h AS ({' UNION ALL '.join(phrases)}), len_ AS (SELECT doc_id, coalesce(l, 0) AS l FROM docs LEFT JOIN (SELECT doc_id, count(*) AS l FROM p GROUP BY doc_id) USING (doc_id)), tot AS (SELECT (SELECT count(*) FROM docs) AS n, (SELECT sum(l) FROM len_) AS alls),
+ tf AS (SELECT phrase, doc_id, sum({weights}) AS f FROM h GROUP BY 1,2), dfs AS (SELECT phrase, count(*) AS df FROM tf GROUP BY 1),
+ scored AS (SELECT tf.doc_id, round(-sum((CASE WHEN ln((n-df+0.5)/(df+0.5)) <= 0 THEN 1e-6 ELSE ln((n-df+0.5)/(df+0.5)) END) * f*2.2/(f+1.2*(1-0.75+0.75*l/(alls*1.0/n)))), 6) AS score
+ FROM tf JOIN dfs USING (phrase) JOIN len_ USING (doc_id), tot WHERE tf.doc_id IN (SELECT doc_id FROM h GROUP BY doc_id HAVING count(DISTINCT phrase) = {len(phrases)}) GROUP BY 1) {tail}"""
+
+
+@query("mail_fts", _scored_sql(_MAIL_P, [_phrase_sql(0, ["password"]), _phrase_sql(1, ["file"])], "1.0", "SELECT doc_id AS entry_id, score FROM scored JOIN (SELECT DISTINCT entry_id, kind, received FROM mails) m ON m.entry_id = doc_id WHERE (kind IS NULL OR kind <> 'alert') AND received >= '2022-01-01 00:00:00' ORDER BY score, doc_id LIMIT 50"))
+def _(s, d):
+    hits = _mail_index(s, d).scores("password file")
+    return search.search_mails(table(s, d, "mails"), date_from="2022-01-01", limit=50, hits=hits).select("entry_id", "score")
+
+
+@query("mail_fts_raw", f"WITH {_MAIL_P} SELECT DISTINCT doc_id AS entry_id FROM p WHERE term IN (SELECT term FROM p WHERE starts_with(term,'archiw')) AND col = 'body' AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'password')")
+def _(s, d):
+    return _mail_index(s, d).matches("body: archiw* NOT password").withColumnRenamed("doc_id", "entry_id")
+
+
+@query("content_search", _scored_sql(_SEG_P, [_phrase_sql(0, ["password"])], _SEG_W, "SELECT doc_id AS segment_id, score, docs.received FROM scored JOIN docs USING (doc_id) ORDER BY score, docs.received DESC NULLS LAST, doc_id LIMIT 40"))
+def _(s, d):
+    return fulltext.search_segments(_segment_index(s, d), _segment_rows(s, d), "password", 40).select("segment_id", "score", "received")
+
+
+@query("content_snippets")
+def _(s, d):
+    return fulltext.search_segments(_segment_index(s, d), _segment_rows(s, d), "password file", 25)
+
+
+@query("content_rebuild", f"WITH {_SEG_DOCS} SELECT count(*) AS n FROM docs")
+def _(s, d):
+    return _segment_index(s, d).lengths().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("content_incremental", f"WITH {_SEG_P} SELECT term, count(DISTINCT doc_id) AS n FROM p WHERE doc_id % 3 <> 0 AND term IN ('password', 'budget', 'umowa') AND (col <> 'text' OR doc_id % 5 <> 0) GROUP BY term")
+def _(s, d):
+    rows = _segment_rows(s, d).select("segment_id", *fulltext.CONTENT_WEIGHTS)
+    root = f"{ensure_checkpoint_dir(s)}/lakepost-index/incremental-{zlib.crc32(d.encode()):08x}-{s.sparkContext.applicationId}"
+    index = fulltext.TextIndex(s, root, tuple(fulltext.CONTENT_WEIGHTS))
+    if index.generations() < 3:
+        # all segments, then every fifth with another text, then every third is deleted
+        for _ in range(index.generations(), 1):
+            index.write(rows, "segment_id")
+        if index.generations() == 1:
+            index.write(rows.filter("segment_id % 5 = 0").withColumn("text", F.lit("other")), "segment_id")
+        if index.generations() == 2:
+            index.remove(rows.filter("segment_id % 3 = 0").select(F.col("segment_id").alias("doc_id")))
+    p = index.postings()
+    want = [search.in_bucket(t) & (F.col("term") == t) for t in ("password", "budget", "umowa")]
+    return p.filter(want[0] | want[1] | want[2]).groupBy("term").agg(F.count_distinct("doc_id").alias("n"))
 
 
 def segment_context(s, d):
@@ -288,6 +370,67 @@ def _(s, d):
     return out.select("doc_id", F.round("score", 6).alias("score"), "channels")
 
 
+# semantic search: the vectors of the table belong to the segments of the same number
+
+_SEM = "(SELECT e.vec_id AS segment_id, embedding, m.received FROM embeddings e JOIN (SELECT DISTINCT segment_id, document_id FROM content_segments) s ON s.segment_id = e.vec_id JOIN content_documents d USING (document_id) JOIN (SELECT entry_id, max(received) AS received FROM (SELECT entry_id, unnest(max(struct_pack(received, subject, sender_name, sender_email, to_recips, cc_recips))) FROM mails GROUP BY entry_id) GROUP BY 1) m ON m.entry_id = d.mail_entry_id)"
+
+
+def _embeddings(s, d, model: str = "m"):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("segment_id"), F.lit(model).alias("model"), F.size("embedding").alias("dimensions"), F.col("embedding").alias("vector"))
+
+
+@query("semantic_search", f"SELECT segment_id, round({DOT_SQL}, 6) AS similarity FROM (SELECT * FROM {_SEM} ORDER BY received DESC NULLS LAST, segment_id DESC LIMIT 100), {QUERY_VECTOR_SQL} ORDER BY {DOT_SQL} DESC, received DESC NULLS LAST, segment_id DESC LIMIT 20")
+def _(s, d):
+    both = _embeddings(s, d).unionByName(_embeddings(s, d, "other"))
+    got = semantic.search_semantic(both, "m", _query_vector(s, d), _segment_rows(s, d), 20, 100)
+    return got.hits.select("segment_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("semantic_flags", "SELECT (SELECT count(*) FROM embeddings) AS indexed, (SELECT count(*) FROM embeddings) > 100 AS cap_reached, false AS mismatch, 0::BIGINT AS mismatch_hits, true AS mismatch_told, false AS mismatch_cap")
+def _(s, d):
+    rows, e = _segment_rows(s, d), _embeddings(s, d)
+    right = semantic.search_semantic(e, "m", _query_vector(s, d), rows, 20, 100)
+    wrong = semantic.search_semantic(e, "m", [1.0, 0.0], rows, 20, 100)
+    told = s.createDataFrame([(right.indexed, right.cap_reached, right.mismatch, wrong.mismatch, wrong.cap_reached)], "indexed long, cap_reached boolean, mismatch boolean, mismatch_told boolean, mismatch_cap boolean")
+    return told.join(F.broadcast(wrong.hits.agg(F.count(F.lit(1)).alias("mismatch_hits"))))  # one row
+
+
+_LEX = _scored_sql(_SEG_P, [_phrase_sql(0, ["password"])], _SEG_W, "SELECT doc_id AS segment_id, row_number() OVER (ORDER BY score, docs.received DESC NULLS LAST, doc_id) AS lr FROM (SELECT scored.* FROM scored JOIN docs USING (doc_id) ORDER BY score, docs.received DESC NULLS LAST, doc_id LIMIT 80) scored JOIN docs USING (doc_id)")
+
+
+@query("semantic_hybrid", f"""SELECT segment_id, round(coalesce(1.0/(60+sr),0)+coalesce(1.25/(60+lr),0),6) AS score, CASE WHEN sr IS NOT NULL AND lr IS NOT NULL THEN 'fts+semantic' WHEN sr IS NOT NULL THEN 'semantic' ELSE 'fts' END AS channels
+ FROM (SELECT segment_id, row_number() OVER (ORDER BY sim DESC, received DESC NULLS LAST, segment_id DESC) AS sr FROM (SELECT segment_id, received, {DOT_SQL} AS sim FROM {_SEM}, {QUERY_VECTOR_SQL} ORDER BY sim DESC, received DESC NULLS LAST, segment_id DESC LIMIT 80)) FULL OUTER JOIN ({_LEX}) USING (segment_id)
+ JOIN (SELECT s.segment_id, m.received FROM (SELECT DISTINCT segment_id, document_id FROM content_segments) s JOIN content_documents d USING (document_id) JOIN (SELECT DISTINCT entry_id, received FROM mails) m ON m.entry_id = d.mail_entry_id) r USING (segment_id)
+ ORDER BY coalesce(1.0/(60+sr),0)+coalesce(1.25/(60+lr),0) DESC, received DESC NULLS LAST, sr ASC NULLS LAST, lr ASC NULLS LAST LIMIT 20""")
+def _(s, d):
+    got = semantic.search_semantic(_embeddings(s, d), "m", _query_vector(s, d), _segment_rows(s, d), 20, hybrid=True, index=_segment_index(s, d), text="password")
+    return got.hits.select("segment_id", F.round("score", 6).alias("score"), "channels")
+
+
+@query("semantic_pending", "SELECT segment_id FROM (SELECT DISTINCT segment_id, clean_text FROM content_segments) WHERE length(trim(clean_text)) > 0 AND segment_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)")
+def _(s, d):
+    e = _embeddings(s, d).filter("segment_id % 2 = 0").unionByName(_embeddings(s, d, "other"))
+    return semantic.pending(table(s, d, "content_segments"), e, "m").select("segment_id")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A deterministic stand-in for a model: shares of a few letters."""
+    return [[1.0, *(t.count(c) / max(1, len(t)) for c in "aeiou")] for t in texts]
+
+
+@query("semantic_index", "SELECT model, dimensions, count(*) AS n FROM (SELECT 'letters' AS model, 6 AS dimensions, segment_id FROM (SELECT DISTINCT segment_id FROM content_segments WHERE length(trim(clean_text)) > 0) UNION ALL SELECT 'other', len(embedding), vec_id FROM embeddings) GROUP BY 1, 2")
+def _(s, d):
+    out = semantic.index_embeddings(table(s, d, "content_segments"), _embeddings(s, d, "other"), semantic.Provider("letters", _letters), rebuild=True)
+    return out.groupBy("model", "dimensions").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("semantic_count", "SELECT count(*) AS n FROM embeddings WHERE vec_id IN (SELECT segment_id FROM content_segments WHERE document_id = (SELECT min(document_id) FROM content_segments))")
+def _(s, d):
+    seg = table(s, d, "content_segments")
+    first = seg.agg(F.min("document_id").alias("x")).head()["x"]
+    return semantic.count_embeddings(_embeddings(s, d), "m", seg, first)
+
+
 @query("pending_embeddings_anti", "SELECT doc_id FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE length(trim(text)) > 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def _(s, d):
     docs = table(s, d, "documents").select("doc_id", "text").distinct().filter("length(trim(text)) > 0")
@@ -354,13 +497,20 @@ def _(s, d):
     return wanted.join(_jobs(s, d).filter("status IN ('pending','running')"), ["job_type", "attachment_id"], "left_anti").select("job_type", "attachment_id")
 
 
-@query("orphan_blob_gc", "SELECT count(*) AS orphans, coalesce(sum(p_size),0)::BIGINT AS bytes FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE o_orderstatus='P')")
+@query("orphan_blob_gc", "SELECT count(*) AS orphans, coalesce(sum(o_custkey),0)::BIGINT AS bytes FROM orders WHERE o_orderdate <= TIMESTAMP '1996-05-31 23:00:00' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _(s, d):
-    li = table(s, d, "lineitem")
-    used = li.filter("l_quantity > 45").select(F.col("l_partkey").alias("id"))
-    busy = li.join(table(s, d, "orders").filter("o_orderstatus='P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.col("l_partkey").alias("id"))
-    blobs = table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_size", F.to_timestamp_ntz(F.lit("1990-01-01 00:00:00")).alias("created_at"))
-    return merge.orphans(blobs, used, busy, _now()).agg(F.count(F.lit(1)).alias("orphans"), F.coalesce(F.sum("p_size"), F.lit(0)).cast("long").alias("bytes"))
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_quantity", "l_returnflag")
+    blobs = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderdate").alias("created_at"))
+    cutoff = _now() - F.make_dt_interval(hours=F.lit(1))
+    return merge.orphans(blobs, li.filter("l_quantity > 45"), li.filter("l_returnflag = 'R'"), cutoff).agg(F.count(F.lit(1)).alias("orphans"), F.coalesce(F.sum("o_custkey"), F.lit(0)).cast("long").alias("bytes"))
+
+
+@query("busy_blobs", "SELECT DISTINCT document_id AS blob FROM content_documents WHERE document_id IN (SELECT coalesce(CASE WHEN vec_id % 2 = 0 THEN vec_id END, vec_id + 1) FROM embeddings WHERE vec_id % 3 = 0)")
+def _(s, d):
+    att = table(s, d, "content_documents").select(F.col("document_id").alias("id"), F.col("document_id").alias("blob_id"))
+    docs = table(s, d, "content_documents").select("document_id", F.col("document_id").alias("attachment_id"))
+    running = table(s, d, "embeddings").filter("vec_id % 3 = 0").select(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")).alias("attachment_id"), (F.col("vec_id") + 1).alias("document_id"))
+    return merge.busy_blobs(running, docs, att).select(F.col("blob_id").alias("blob"))
 
 
 @query("semi_delete_survivors", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag='R')")
@@ -414,14 +564,13 @@ def _(s, d):
     return ids("click").union(ids("view")).distinct().join(ids("error"), "user_id", "left_anti")
 
 
-@query("retry_ledger_merge", "SELECT user_id, count(*) AS attempts, min(ts) AS first_failed_at, max(ts) AS last_failed_at FROM events WHERE event_type='error' GROUP BY 1")
+@query("retry_ledger_merge", "SELECT user_id, count(*) AS attempts, arg_min(ts, event_id) AS first_failed_at, max(ts) AS last_failed_at, arg_max(props, (ts, props)) AS error_code FROM events WHERE event_type='error' AND ts IS NOT NULL GROUP BY 1")
 def _(s, d):
-    f = table(s, d, "events").filter("event_type='error'").select("user_id", F.col("ts").alias("failed_at"), F.col("event_type").alias("error_code"), "event_id")
-    old = f.filter("event_id % 2 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), F.min("failed_at").alias("first_failed_at"), F.max("failed_at").alias("last_failed_at"), F.max("error_code").alias("error_code"))
-    r = merge.merge_retries(old, f.filter("event_id % 2 = 1"), "user_id")
-    both = old.select("user_id", F.col("first_failed_at").alias("a"), F.col("last_failed_at").alias("b"))
-    firsts = f.groupBy("user_id").agg(F.min("failed_at").alias("first_failed_at"), F.max("failed_at").alias("last_failed_at"))
-    return r.select("user_id", "attempts").join(both.select("user_id"), "user_id", "left").join(firsts, "user_id").select("user_id", "attempts", "first_failed_at", "last_failed_at")
+    # failures in the order they happened: a first run up to a day, a second one after it
+    f = table(s, d, "events").filter("event_type='error'").select("user_id", F.col("ts").alias("failed_at"), F.col("props").alias("error_code"))
+    day = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
+    none = f.limit(0).select("user_id", F.lit(0).cast("long").alias("attempts"), F.col("failed_at").alias("first_failed_at"), F.col("failed_at").alias("last_failed_at"), "error_code")
+    return merge.merge_retries(merge.merge_retries(none, f.filter(F.col("failed_at") < day), "user_id"), f.filter(F.col("failed_at") >= day), "user_id")
 
 
 @query("newest_n_per_folder", "SELECT folder_path, entry_id FROM (SELECT *, row_number() OVER (PARTITION BY folder_path ORDER BY received DESC NULLS LAST, entry_id) AS rn FROM (SELECT DISTINCT entry_id, folder_path, received FROM mails)) WHERE rn <= 3")
@@ -442,9 +591,11 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("size_tolerance", "SELECT l_orderkey, l_linenumber, abs(l_extendedprice-1000*l_quantity) > greatest(4096, l_extendedprice/100) AS mismatch FROM lineitem")
+
+@query("size_tolerance", "SELECT l_orderkey, l_linenumber, d > 0 AND abs(a - d) > greatest(4096, d // 100) AS mismatch FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 0 ELSE l_extendedprice::BIGINT END AS d, (1000*l_quantity)::BIGINT AS a FROM lineitem)")
 def _(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.abs(F.col("l_extendedprice") - 1000 * F.col("l_quantity")) > F.greatest(F.lit(4096.0), F.col("l_extendedprice") / 100)).alias("mismatch"))
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 3, F.lit(0)).otherwise(F.round("l_extendedprice")).cast("long").alias("d"), (1000 * F.col("l_quantity")).cast("long").alias("a"))
+    return li.select("l_orderkey", "l_linenumber", merge.size_mismatch(F.col("d"), F.col("a")).alias("mismatch"))
 
 
 @query("source_identity_hash", "SELECT DISTINCT entry_id, lower(trim(split_part(store_id,':',1)))||':'||sha256(entry_id) AS identity FROM mails")

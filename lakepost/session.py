@@ -1,4 +1,4 @@
-"""Session helpers: table access and fault-tolerant lineage cuts."""
+"""Session helpers: table access, fault-tolerant lineage cuts, folders for indexes."""
 
 from __future__ import annotations
 
@@ -12,13 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset a local one, but only on a local master.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` so that what no plan refers to any more is removed.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakepost-ckpt-")
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lakepost-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
