@@ -1,9 +1,10 @@
 """Text decoded with the wrong charset: find it and restore it.
 
 A latent encoding chain (bytes of charset ``enc`` read as ``dec``, that twice, or a chain that
-lost characters) is looked for behind each word.  The likelihood of a word under a chain is
-that of the word before the chain, by corpus counts and character trigrams.  Words of a value
-add up; expectation-maximization over pools (store, field) learns how common each chain is in
+lost characters) is looked for behind each distinct word of the corpus, once.  The likelihood of a
+word under a chain is that of the word before the chain, by exact corpus counts, which are joined,
+and character trigrams.  Words of a value add up: the values' words pass a bit filter of the damaged
+words and are joined with their chains; expectation-maximization over pools (store, field) learns how common each chain is in
 a pool, so that weak evidence in one record is judged by the others of its source.  Values
 whose posterior of any chain exceeds one half are damaged; they are repaired word by word by
 the chain of the highest posterior, and characters that were lost stay as they are.
@@ -23,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakepost.llm.lexicon import TOKEN, Sketch, build_sketch, trigram_keys, word_counts
+from lakepost.llm.filters import build_filter
+from lakepost.llm.lexicon import TOKEN, Asking, Letters, build_letters, with_counts, word_counts
 from lakepost.session import cut
 
 # Charsets that chains are made of.
@@ -93,13 +95,18 @@ def lossy_masks(word: str) -> list[str]:
     return list(out)
 
 
+def bare_word(word: str) -> str | None:
+    """What of a word the letters are learned from; null for numbers and lossy words."""
+    bare = word.strip(_EDGE)
+    return bare if bare and not bare.isdigit() and "?" not in bare and "�" not in bare else None
+
+
 def word_keys(word: str) -> list[str]:
+    """Keys that a word is counted under: itself, and what is left of it after common losses."""
     bare = word.strip(_EDGE)
     keys = ["w:" + bare] if bare else []
-    if bare and not bare.isdigit() and "?" not in bare and "�" not in bare and len(bare) <= 30:
-        keys += trigram_keys(bare)
-        if not bare.isascii():
-            keys += lossy_masks(bare)
+    if not bare.isascii() and bare_word(word) is not None:
+        keys += lossy_masks(bare)
     return keys
 
 
@@ -126,7 +133,7 @@ def _latin_frame(text: str) -> bool:
     return sum(c.isascii() and c.isalpha() for c in text) >= 3
 
 
-def judge_word(word: str, lex: Sketch) -> tuple[str, float, str] | None:
+def judge_word(word: str, lex: Letters) -> tuple[str, float, str] | None:
     """(chain, log likelihood ratio against clean, word before the chain), or null for a clean word."""
     bare = word.strip(_EDGE)
     if "�" in word:
@@ -202,7 +209,7 @@ def judge_word(word: str, lex: Sketch) -> tuple[str, float, str] | None:
     return best
 
 
-def _judge_ascii(word: str, bare: str, lex: Sketch) -> tuple[str, float, str] | None:
+def _judge_ascii(word: str, bare: str, lex: Letters) -> tuple[str, float, str] | None:
     if "?" in word.strip("?") or (word[0] == "?" and len(word) > 1):
         w = _collapse(word).rstrip("?") if not word.startswith("??") else _collapse(word)
         for key in {w, _collapse(word)}:
@@ -243,39 +250,89 @@ def judge_line(line: str) -> tuple[str, float, str] | None:
     return None
 
 
-def judge_value(value: str, lex: Sketch, memo: dict) -> dict[str, tuple[float, int]]:
-    """Log likelihood ratio of each chain over the words of a value."""
-    found: dict[str, float] = {}
-    for word in {p for t in tokens(value) for p in pieces(t)}:
-        verdict = memo.get(word, 0)
-        if verdict == 0:
-            if len(memo) > 400_000:
-                memo.clear()
-            verdict = memo[word] = judge_word(word, lex)
-        if verdict is not None:
-            found[verdict[0]] = found.get(verdict[0], 0.0) + verdict[1]
-    if not value.isascii():
-        for line in value.split("\n"):
-            if not line.isascii() and (v := judge_line(line)) is not None:
-                found[v[0]] = found.get(v[0], 0.0) + v[1]
-    return found
+def key_counts(counts: DataFrame) -> DataFrame:
+    """(key, n) of all keys of words that are met at least twice."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, n) for w, n in zip(pdf["word"], pdf["n"]) for k in word_keys(w)]
+            yield pd.DataFrame(rows, columns=["key", "n"])
+
+    return counts.filter("n > 1").mapInPandas(keys, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def evidence(df: DataFrame, key: str, pool: str, fields: list[str], lex) -> DataFrame:
-    """(key, pool, field, chain, llr): what speaks for each chain in each value; ``lex`` is a broadcast sketch."""
+def judged_words(words: DataFrame, keys: DataFrame, letters) -> DataFrame:
+    """(word, chain, llr, before) of the words that a chain explains better than clean text; ``letters`` is a broadcast model.
+
+    First each word tells which counts it wants to know, then they are joined, then it is judged.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for w in pdf["word"]:
+                bare = w.strip(_EDGE)
+                plain = w.isascii() and "?" not in w
+                if plain and not (len(bare) >= 4 and bare.isalpha()):
+                    continue
+                a = Asking(letters.value, {"w:" + bare})
+                judge_word(w, a)
+                # a plain word is judged only if it may be what is left of another
+                rows.append((w, sorted(a.asked), plain))
+            yield pd.DataFrame(rows, columns=["word", "keys", "plain"])
+
+    asked = cut(words.select("word").mapInPandas(ask, "word string, keys array<string>, plain boolean"))
+    left = keys.filter(F.col("key").startswith("d:")).select(F.substring("key", 3, 1 << 30).alias("word"))
+    asked = asked.filter("NOT plain").unionByName(asked.filter("plain").join(left, "word", "left_semi").select(*asked.columns))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = letters.value
+        for pdf in batches:
+            rows = []
+            for w, known in zip(pdf["word"], pdf["known"]):
+                m.known = dict(known) if known is not None else {}
+                got = judge_word(w, m)
+                if got is not None:
+                    rows.append((w, *got))
+            yield pd.DataFrame(rows, columns=["word", "chain", "llr", "before"])
+
+    return with_counts(asked.select("word", "keys"), keys).mapInPandas(judge, "word string, chain string, llr double, before string")
+
+
+def value_pieces(value: str) -> set[str]:
+    return {p for t in tokens(value) for p in pieces(t)}
+
+
+def evidence(df: DataFrame, key: str, pool: str, fields: list[str], verdicts: DataFrame, damaged) -> DataFrame:
+    """(key, pool, field, chain, llr): what speaks for each chain in each value; ``damaged`` is a broadcast filter of the words of ``verdicts``."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
-        sketch = lex.value
+        memo: dict[str, bool] = {}
+        known = damaged.value
         for pdf in batches:
             rows = []
             for f in fields:
                 for k, p, v in zip(pdf[key], pdf[pool], pdf[f]):
-                    if v:
-                        rows += [(k, p, f, c, s) for c, s in judge_value(v, sketch, memo).items()]
-            yield pd.DataFrame(rows, columns=["key", "pool", "field", "chain", "llr"])
-
-    return df.select(key, pool, *fields).mapInPandas(scan, "key string, pool string, field string, chain string, llr double")
+                    if not v:
+                        continue
+                    for w in value_pieces(v):
+                        got = memo.get(w)
+                        if got is None:
+                            if len(memo) > 400_000:
+                                memo.clear()
+                            got = memo[w] = w in known
+                        if got:
+                            rows.append((k, p, f, w, None, None))
+                    if not v.isascii():
+                        for line in v.split("\n"):
+                            if not line.isascii() and (x := judge_line(line)) is not None:
+                                rows.append((k, p, f, None, x[0], x[1]))
+            yield pd.DataFrame(rows, columns=["key", "pool", "field", "word", "chain", "llr"]).astype({"llr": "Float64"})
+
+    found = cut(df.select(key, pool, *fields).mapInPandas(scan, "key string, pool string, field string, word string, chain string, llr double").distinct())
+    words = found.filter("word IS NOT NULL").select("key", "pool", "field", "word").join(verdicts.select("word", "chain", "llr"), "word").select("key", "pool", "field", "chain", "llr")
+    lines = found.filter("chain IS NOT NULL").select("key", "pool", "field", "chain", "llr")
+    return words.unionByName(lines).groupBy("key", "pool", "field", "chain").agg(F.sum("llr").alias("llr"))
 
 
 def pooled_posterior(found: DataFrame, sizes: DataFrame, rounds: int = 3) -> DataFrame:
@@ -301,46 +358,98 @@ def pooled_posterior(found: DataFrame, sizes: DataFrame, rounds: int = 3) -> Dat
     return posterior.select("key", "field", "chain", "posterior")
 
 
-def corpus_sketch(df: DataFrame, fields: list[str]) -> Sketch:
-    return build_sketch(cut(word_counts(df, fields, tokens)), word_keys, least=2)
+class Corpus:
+    """What is learned of a table's words: letters, counts of keys, damaged words."""
 
+    def __init__(self, mails: DataFrame, fields: list[str]) -> None:
+        counts = cut(word_counts(mails, fields, lambda t: ([p for x in tokens(t) for p in pieces(x)], [])))
+        self.letters = mails.sparkSession.sparkContext.broadcast(build_letters(counts, bare_word, least=2))
+        self.keys = cut(key_counts(counts))
+        self.verdicts = cut(judged_words(counts, self.keys, self.letters))
+        self.damaged = mails.sparkSession.sparkContext.broadcast(build_filter(self.verdicts, "word"))
 
-def chain_posteriors(mails: DataFrame, key: str, pool: str, fields: list[str], lex) -> DataFrame:
-    """(key, field, chain, posterior) of the chains that anything speaks for; ``lex`` is a broadcast sketch."""
+
+def chain_posteriors(mails: DataFrame, key: str, pool: str, fields: list[str], corpus: Corpus) -> DataFrame:
+    """(key, field, chain, posterior) of the chains that anything speaks for."""
     rows = mails.select(key, F.coalesce(pool, F.lit("")).alias(pool), *fields).filter(F.col(key).isNotNull())
-    found = cut(evidence(rows, key, pool, fields, lex).groupBy("key", "pool", "field", "chain").agg(F.max("llr").alias("llr")))
-    sizes = rows.groupBy(F.col(pool).alias("pool")).agg(F.count(F.lit(1)).alias("n")).crossJoin(mails.sparkSession.createDataFrame([(f,) for f in fields], "field string").hint("broadcast"))
+    found = cut(evidence(rows, key, pool, fields, corpus.verdicts, corpus.damaged))
+    sizes = rows.groupBy(F.col(pool).alias("pool")).agg(F.count(F.lit(1)).alias("n")).select("pool", "n", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
     return pooled_posterior(found, sizes)
 
 
 def damaged_values(mails: DataFrame, key: str = "entry_id", pool: str = "store_id", fields: tuple[str, ...] = ("subject", "body", "sender_name")) -> DataFrame:
     """(entry_id, field, chain, posterior) of the values that hold damaged text."""
     fields = list(fields)
-    lex = mails.sparkSession.sparkContext.broadcast(corpus_sketch(mails, fields))
-    best = chain_posteriors(mails, key, pool, fields, lex).groupBy("key", "field").agg(F.sum("posterior").alias("posterior"), F.max_by("chain", "posterior").alias("chain"))
+    best = chain_posteriors(mails, key, pool, fields, Corpus(mails, fields)).groupBy("key", "field").agg(F.sum("posterior").alias("posterior"), F.max_by("chain", "posterior").alias("chain"))
     return best.filter("posterior > 0.5").select(F.col("key").alias(key), "field", "chain", "posterior")
 
 
 def repaired_values(mails: DataFrame, key: str = "entry_id", pool: str = "store_id", fields: tuple[str, ...] = ("subject", "body", "sender_name")) -> DataFrame:
     """(entry_id, fields): every mail, the values that hold damaged text with their original text where it can be regained."""
     fields = list(fields)
-    lex = mails.sparkSession.sparkContext.broadcast(corpus_sketch(mails, fields))
-    chains = chain_posteriors(mails, key, pool, fields, lex).groupBy("key", "field", "chain").agg(F.max("posterior").alias("posterior"))
-    chains = chains.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("field", "chain", "posterior")).alias("chains"))
+    corpus = Corpus(mails, fields)
+    chains = chain_posteriors(mails, key, pool, fields, corpus).groupBy("key", "field", "chain").agg(F.max("posterior").alias("posterior"))
+    chains = cut(chains.groupBy("key", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "posterior"))).alias("chains"), F.sum("posterior").alias("all")).filter("all > 0.5").select("key", "field", "chains"))
+    long = mails.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")).select("key", "x.field", "x.value").filter("length(value) > 0").distinct()
+    broken = cut(long.join(chains, ["key", "field"]))
+    options = cut(word_options(broken, corpus))
+    # each value's words with what they may have been
+    words = broken.select("key", "field", "value", F.explode(_words_of("value")).alias("word"))
+    of_value = words.join(options, "word").groupBy("key", "field", "value").agg(F.map_from_entries(F.collect_list(F.struct("word", "options"))).alias("options"))
+    letters = corpus.letters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
-        sketch = lex.value
         for pdf in batches:
-            for j, found in enumerate(pdf["chains"]):
-                for f in fields if found is not None else ():
-                    of = {c["chain"]: c["posterior"] for c in found if c["field"] == f}
-                    if sum(of.values()) > 0.5:
-                        pdf.at[j, f] = repair_by(pdf.at[j, f], of, sketch, memo)
-            yield pdf[[key, *fields]]
+            pdf["repaired"] = [repair_by(v, dict(c), dict(o) if o is not None else {}, letters.value) for v, c, o in zip(pdf["value"], pdf["chains"], pdf["options"])]
+            yield pdf[["key", "field", "value", "repaired"]]
+
+    fixed = broken.join(of_value, ["key", "field", "value"], "left").select("key", "field", "value", "chains", "options").mapInPandas(run, "key string, field string, value string, repaired string")
+    out = mails.select(key, *fields).distinct()
+    for f in fields:
+        mine = fixed.filter(F.col("field") == f).select(F.col("key").alias(key), F.col("value").alias(f), "repaired")
+        out = out.join(mine, [key, f], "left").withColumn(f, F.coalesce("repaired", f)).drop("repaired")
+    return out.select(key, *fields)
+
+
+def _words_of(column: str):
+    """The words of values that a chain may stand behind."""
+
+    @F.pandas_udf("array<string>")
+    def words(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: sorted({m[0] for m in _URL_OR_TOKEN.finditer(v) if not m[0].isascii() and "://" not in m[0]}))
+
+    return words(column)
+
+
+def word_options(broken: DataFrame, corpus: Corpus) -> DataFrame:
+    """(word, options array<struct<chain, llr, before>>): what each word of damaged values (value, chains) may have been under their chains."""
+    pairs = broken.select(F.explode(_words_of("value")).alias("word"), F.map_keys("chains").alias("chains"))
+    pairs = pairs.select("word", F.explode("chains").alias("chain")).filter(~F.col("chain").isin(LOST) & ~F.split_part("chain", F.lit(">"), F.lit(1)).isin(EAST_ASIAN)).distinct()
+    letters = corpus.letters
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for w, c in zip(pdf["word"], pdf["chain"]):
+                a = Asking(letters.value, {"w:" + w.strip(_EDGE)})
+                under_chain(w, c, a)
+                rows.append((w, c, sorted(a.asked)))
+            yield pd.DataFrame(rows, columns=["word", "chain", "keys"])
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = letters.value
+        for pdf in batches:
+            rows = []
+            for w, c, known in zip(pdf["word"], pdf["chain"], pdf["known"]):
+                m.known = dict(known) if known is not None else {}
+                got = under_chain(w, c, m)
+                if got is not None:
+                    rows.append((w, c, *got))
+            yield pd.DataFrame(rows, columns=["word", "chain", "llr", "before"])
 
-    rows = mails.select(key, *fields).distinct().join(chains, key, "left")
-    return rows.mapInPandas(run, ", ".join(f"{c} string" for c in [key, *fields]))
+    asked = pairs.mapInPandas(ask, "word string, chain string, keys array<string>")
+    got = with_counts(asked, corpus.keys).mapInPandas(judge, "word string, chain string, llr double, before string")
+    return got.groupBy("word").agg(F.collect_list(F.struct("chain", "llr", "before")).alias("options"))
 
 
 def _read_utf8(word: str, dec: str) -> str:
@@ -350,7 +459,7 @@ def _read_utf8(word: str, dec: str) -> str:
     return "".join(chars[ord(c) - 0xDC00] if "\udc80" <= c <= "\udcff" else c for c in text)
 
 
-def under_chain(word: str, chain: str, lex: Sketch) -> tuple[float, str] | None:
+def under_chain(word: str, chain: str, lex: Letters) -> tuple[float, str] | None:
     """(log likelihood ratio against clean, word before the chain) of one chain, or null where it explains nothing."""
     enc, dec, *again = chain.split(">")
     if enc == "utf-8":
@@ -362,7 +471,8 @@ def under_chain(word: str, chain: str, lex: Sketch) -> tuple[float, str] | None:
         text = _read_utf8(word, dec)
         text = _read_utf8(text, dec) if again else text
         inner, bare = text.strip(_EDGE), word.strip(_EDGE)
-        sure = got[1] >= 3 or not inner or lex.count("w:" + inner) * 3 >= lex.count("w:" + bare) or lex.letters(inner) > lex.letters(bare) + 3
+        n, seen = lex.count("w:" + inner), lex.count("w:" + bare)
+        sure = got[1] >= 3 or not inner or n * 3 >= seen or lex.letters(inner) > lex.letters(bare) + 3
         # read once more is better, if that is possible
         return (SURE if sure else 2.0) + (1.0 if again else 0.0) - got[2], text
     bare = word.strip(_EDGE)
@@ -383,22 +493,17 @@ def under_chain(word: str, chain: str, lex: Sketch) -> tuple[float, str] | None:
     return min(ratio, SURE), word[:k] + text + word[k + len(bare) :]
 
 
-def repair_by(value: str, chains: dict[str, float], lex: Sketch, memo: dict) -> str:
+def repair_by(value: str, chains: dict[str, float], options: dict, letters: Letters) -> str:
     """A damaged value with each word as it was before the chain that explains it best, by the chains' posteriors in the value.
 
-    A chain of little or no posterior counts with the prior of any chain, for parts of a value may
-    be damaged in another way; what no chain explains better than clean text stays.
+    ``options`` are the words' readings under chains (chain, llr, before).  A chain of little or no
+    posterior counts with the prior of any chain, for parts of a value may be damaged in another
+    way; what no chain explains better than clean text stays.
     """
     weight = {c: math.log(max(p, START_PRIOR)) for c, p in chains.items() if c != LOST}
-    known = tuple(sorted(weight))
 
     def word_before(w: str) -> str:
-        got = memo.get((w, known))
-        if got is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            got = memo[(w, known)] = [(c, *u) for c in known if c.split(">")[0] not in EAST_ASIAN and (u := under_chain(w, c, lex)) is not None]
-        fit = [(llr + weight[c] + lex.letters(before), before) for c, llr, before in got if llr + weight[c] > 0]
+        fit = [(o["llr"] + weight[o["chain"]] + letters.letters(o["before"]), o["before"]) for o in options.get(w, ()) if o["chain"] in weight and o["llr"] + weight[o["chain"]] > 0]
         return max(fit)[1] if fit else w
 
     lines = []
@@ -406,23 +511,3 @@ def repair_by(value: str, chains: dict[str, float], lex: Sketch, memo: dict) ->
         v = judge_line(line) if not line.isascii() else None
         lines.append(v[2] if v is not None and v[0] in weight else _URL_OR_TOKEN.sub(lambda m: m[0] if m[0].isascii() or "://" in m[0] else word_before(m[0]), line))
     return "\n".join(lines)
-
-
-def repair_value(value: str, lex: Sketch, memo: dict) -> str:
-    """The value with each damaged word replaced by what it was before its chain."""
-    lines = []
-    for line in value.split("\n"):
-        v = judge_line(line) if not line.isascii() else None
-        if v is not None:
-            lines.append(v[2])
-            continue
-
-        def fix(m: re.Match) -> str:
-            w = m[0]
-            if w not in memo:
-                memo[w] = judge_word(w, lex)
-            got = memo[w]
-            return got[2] if got is not None and got[0] != LOST else w
-
-        lines.append(TOKEN.sub(fix, line))
-    return "\n".join(lines)
