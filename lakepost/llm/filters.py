@@ -67,7 +67,8 @@ def build_filter(words: DataFrame, column: str) -> BitFilter:
                     if got is None:
                         got = held[byte // CHUNK] = np.zeros(CHUNK, np.uint8)
                     got[byte % CHUNK] |= 1 << (p & 7)
-        yield pd.DataFrame({"chunk": list(held), "bits": [b.tobytes() for b in held.values()]})
+        if held:
+            yield pd.DataFrame({"chunk": list(held), "bits": [b.tobytes() for b in held.values()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(CHUNK, np.uint8)

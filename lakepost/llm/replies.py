@@ -40,6 +40,10 @@ from lakepost.session import cut
 
 #: Chance that a matched interval was written anew all the same.
 CHANCE = 0.01
+#: Threads that are thought of besides those at hand, for the shares of few threads tell little.
+FEW_THREADS = 100
+#: So many messages of a thread may tell a sentence as their own: the first, its paste, and copies of both.
+OWN = 4
 #: Copies of one message differ in time by no more (notations without seconds, harvest of two stores).
 COPY_US = 180_000_000
 #: Lower bound of the rate (at 95 %) from which a line is a closing line.
@@ -281,8 +285,8 @@ class Parsed:
             nxt = texts[j + 1] if j + 1 < len(texts) else None
             if nxt is not None and self.flags[nxt] & NAME and not f & NAME and (f | ~self.flags[nxt]) & FIRST:
                 bits |= BEFORE
-            # the last line of all speaks for a closing line as well, unless it is the end of a wrapped paragraph
-            if (below or j and nxt is None and (f & FIRST or self.sizes[k - 1] < 40)) and not f & POSTSCRIPT:
+            # a short last line speaks for a closing line as well, unless it is the end of a wrapped paragraph
+            if (below or j and nxt is None and self.sizes[k] < 40 and (f & FIRST or self.sizes[k - 1] < 40)) and not f & POSTSCRIPT:
                 bits |= BELOW
             if first and nxt is not None:
                 bits |= ABOVE
@@ -484,13 +488,15 @@ SENT_ROWS = 300_000
 
 def learned_lines(parsed: DataFrame) -> DataFrame:
     """(teller, key, kind) of the closing lines, banners and words of introductions; a null teller stands for all."""
-    x = parsed.select("teller", F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
+    # what is repeated a few times within one thread only may be pasted; a mail without thread is one of its own
+    x = parsed.select("teller", F.coalesce("thread", "row").alias("thread"), F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", "thread", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
     count = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
-    by_teller = x.groupBy("key", "teller").agg(F.count(F.lit(1)).alias("n"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
-    overall = by_teller.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"))
+    by_teller = x.groupBy("key", "teller").agg(F.count(F.lit(1)).alias("n"), F.min("thread").alias("lo"), F.max("thread").alias("hi"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
+    overall = by_teller.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    wide = (F.col("lo") < F.col("hi")) | (F.col("n") > 2 * OWN)
     kind = sum(F.when(_rate_floor(F.col(c), F.col("n")) > RATE, bit).otherwise(0) for c, bit in (("before", FORMULA), ("below", AFTER), ("above", BANNER), ("sure", WORD)))
-    general = overall.filter((F.col("tellers") > 1) & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))).select(F.lit(None).cast("long").alias("teller"), "key", kind.cast("int").alias("kind")).filter("kind > 0")
-    return general.unionByName(by_teller.filter("n > 1 AND below = n").select("teller", "key", F.lit(AFTER).alias("kind")))
+    general = overall.filter((F.col("tellers") > 1) & wide & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))).select(F.lit(None).cast("long").alias("teller"), "key", kind.cast("int").alias("kind")).filter("kind > 0")
+    return general.unionByName(by_teller.filter((_rate_floor(F.col("below"), F.col("n")) > RATE) & wide).select("teller", "key", F.lit(AFTER).alias("kind")))
 
 
 def known_lines(parsed: DataFrame) -> DataFrame:
@@ -523,7 +529,7 @@ def thread_hits(parsed: DataFrame) -> DataFrame:
     asked = threads.filter("t > 0").select("row", "thread", when.alias("when"), F.explode(F.arrays_zip("mine", "mine_at")).alias("x")).select("row", "thread", "when", F.col("x.mine").alias("key"), F.col("x.mine_at").alias("at"))
     copies = F.when(F.pmod("first", F.lit(_TELLER)) == F.pmod("when", F.lit(_TELLER)), COPY_US // 1000).otherwise(0)
     held = asked.join(table.filter("key <> 0"), ["thread", "key"]).filter(F.shiftright("first", 20) + copies < F.shiftright("when", 20)).select("row", "thread", "key", "at", "k")
-    share = F.greatest((F.col("threads") - 1) / F.greatest(F.col("all"), F.lit(1)), (F.col("k") - 2) / F.greatest(F.col("messages"), F.lit(1)), F.lit(0.0))
+    share = F.greatest((F.col("threads") - 1) / (F.col("all") + FEW_THREADS), (F.col("k") - OWN) / F.greatest(F.col("messages"), F.lit(1)), F.lit(0.0))
     return held.join(threads_of, "key").join(size, "thread").join(F.broadcast(total)).select("row", "at", share.alias("share"))  # one row
 
 
@@ -557,7 +563,7 @@ def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
                 got = no[np.array(old, bool)]
                 ids += [e] * len(got)
                 numbers += got.tolist()
-            yield pd.DataFrame({"entry_id": ids, "line_no": np.array(numbers, np.int32)})
+            yield pd.DataFrame({"entry_id": pd.Series(ids, dtype=object), "line_no": np.array(numbers, np.int32)})
 
     wide = parsed.select("row", "entry_id", "numbers", "lines", "pieces", "breaks").join(found, "row", "left").drop("row")
     return wide.mapInPandas(decide, "entry_id string, line_no int")

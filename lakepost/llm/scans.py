@@ -214,9 +214,8 @@ def misread_words(counts: DataFrame, letters) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [sum(map(str.isalpha, w)) >= 3 for w in pdf["word"]]
-            pdf = pdf[keep]
-            yield pd.DataFrame({"strokes": [strokes(w) for w in pdf["word"]], "word": pdf["word"], "n": pdf["n"]})
+            rows = [(strokes(w), w, n) for w, n in zip(pdf["word"], pdf["n"]) if sum(map(str.isalpha, w)) >= 3]
+            yield pd.DataFrame(rows, columns=["strokes", "word", "n"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = letters.value
