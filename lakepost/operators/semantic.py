@@ -119,7 +119,8 @@ def search_semantic(embeddings: DataFrame, model: str, query: list[float], rows:
     """
     limit = max(1, min(limit, LIMIT))
     cap = max(limit, min(max_candidates, MOST))
-    q = check_vectors([query], 1)[0]
+    check_vectors([query], 1)  # the provider has scaled it
+    q = [float(x) for x in query]
     mine = embeddings.filter(F.col("model") == model)
     indexed = mine.count()
     dims = model_dimensions(embeddings, model)
