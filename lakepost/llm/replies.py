@@ -489,7 +489,7 @@ SENT_ROWS = 300_000
 def learned_lines(parsed: DataFrame) -> DataFrame:
     """(teller, key, kind) of the closing lines, banners and words of introductions; a null teller stands for all."""
     # what is repeated a few times within one thread only may be pasted; a mail without thread is one of its own
-    x = parsed.select("teller", F.coalesce("thread", "row").alias("thread"), F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", "thread", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
+    x = parsed.select("teller", F.pmod(F.coalesce("thread", "row"), F.lit(127)).cast("int").alias("thread"), F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", "thread", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
     count = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
     by_teller = x.groupBy("key", "teller").agg(F.count(F.lit(1)).alias("n"), F.min("thread").alias("lo"), F.max("thread").alias("hi"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
     overall = by_teller.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
