@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, compress
 
 import numpy as np
 import pandas as pd
@@ -425,6 +426,55 @@ def greetings(flags: list[int], sizes: list[int]) -> set[int]:
     return out
 
 
+def _sevens(numbers: list[int]) -> bytes:
+    out = bytearray()
+    for x in numbers:
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        out.append(x)
+    return bytes(out)
+
+
+def pack(lists: list[list[int]]) -> bytes:
+    """Lists of whole numbers from 0 in seven bits a byte, each after its bytes: small numbers take one byte, none is too large."""
+    out = []
+    for numbers in lists:
+        part = bytes(numbers) if max(numbers, default=0) < 128 else _sevens(numbers)
+        out += (_sevens([len(part)]), part)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[list[int]]:
+    """What ``pack`` packed."""
+    out, i = [], 0
+    while i < len(data):
+        n = shift = 0
+        while data[i] > 127:
+            n |= (data[i] & 127) << shift
+            i, shift = i + 1, shift + 7
+        n |= data[i] << shift
+        part = data[i + 1 : i + 1 + n]
+        i += 1 + n
+        if part.isascii():
+            out.append(list(part))
+            continue
+        numbers, x, shift = [], 0, 0
+        for b in part:
+            x |= (b & 127) << shift
+            if b > 127:
+                shift += 7
+            else:
+                numbers.append(x)
+                x = shift = 0
+        out.append(numbers)
+    return out
+
+
+def _steps(rising: list[int]) -> list[int]:
+    return [b - a for a, b in zip([0, *rising], rising)]
+
+
 def _rate_floor(k, n):
     """Lower bound of a rate of k in n cases (Wilson)."""
     z2 = Z * Z
@@ -446,7 +496,11 @@ def one_of_each(rows: DataFrame, key: str) -> DataFrame:
 
 
 def parsed_mails(mails: DataFrame, stores: DataFrame) -> DataFrame:
-    """Each mail's lines and sentences as arrays, with its instant ``t`` and the instant ``by`` which its text is told by."""
+    """Each mail's lines and sentences as arrays, with its instant ``t`` and the instant ``by`` which its text is told by.
+
+    ``shape`` packs what only the last step asks for: numbers, flags, sentence ends and letters of the lines, the pieces
+    (sentence, line, letters) and the breaks between paragraphs; rising numbers as their steps.
+    """
     zones = stores.groupBy("store_id").agg(F.max("zone_name").alias("zone_name"), F.max("date_order").alias("date_order"))
     to_us = utc_micros()
     column = lambda c: F.col(c) if c in mails.columns else F.lit(None).cast("string")
@@ -457,7 +511,7 @@ def parsed_mails(mails: DataFrame, stores: DataFrame) -> DataFrame:
     # a mail may be harvested weeks late: that time dates its text for later mails, but doesn't make it later than others
     timed = rows.join(zones, "store_id", "left").withColumn("t", own).withColumn("by", F.when(own > 0, own).otherwise(harvested))
     teller = F.xxhash64(F.lower(F.coalesce(F.nullif("sender_email", F.lit("")), "sender_name", F.lit(""))))
-    columns = ["row", "entry_id", "thread", "teller", "t", "by", "numbers", "lines", "pieces", "seen_at", "seen", "bits", "told", "mine", "mine_at", "breaks"]
+    columns = ["row", "entry_id", "thread", "teller", "t", "by", "shape", "seen_at", "seen", "bits", "told", "mine", "mine_at"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -466,18 +520,20 @@ def parsed_mails(mails: DataFrame, stores: DataFrame) -> DataFrame:
                 p = Parsed(b, s or "")
                 lines = b.replace("\r", "").split("\n")
                 seen = p.seen()
-                packed = [f | (lines[i - 1].rstrip().endswith(_ENDS) and lines[i - 1].count(" ") >= 4) << 10 | z << 11 for i, f, z in zip(p.numbers, p.flags, p.sizes)]
+                ends = [lines[i - 1].rstrip().endswith(_ENDS) and lines[i - 1].count(" ") >= 4 for i in p.numbers]
                 threaded = not pd.isna(c)
-                pieces = [k << 48 | line << 24 | n for k, line, n in p.pieces] if threaded else []
+                in_own, in_line, letters = map(list, zip(*p.pieces)) if threaded and p.pieces else ([], [], [])
+                breaks = [i for i, x in enumerate(p.own) if not x] if threaded else []
+                shape = pack([_steps(p.numbers), p.flags, ends, p.sizes, _steps(in_own), _steps(in_line), letters, _steps(breaks)])
                 mine = dict((x, i) for i, x in reversed(list(enumerate(p.own)))) if threaded else {}
                 mine.pop(0, None)
                 places = [(x, i) for i, x in enumerate(p.own) if x] if threaded else []
-                out.append((row, e, c, who, t, by, p.numbers, packed, pieces, [k for k, _, _ in seen], [x for _, x, _ in seen], [y for _, _, y in seen], list(p.told - mine.keys()) if threaded else [], [x for x, _ in places], [i for _, i in places], [i for i, x in enumerate(p.own) if not x] if threaded else []))
+                out.append((row, e, c, who, t, by, shape, [k for k, _, _ in seen], [x for _, x, _ in seen], [y for _, _, y in seen], list(p.told - mine.keys()) if threaded else [], [x for x, _ in places], [i for _, i in places]))
             frame = pd.DataFrame(out, columns=columns)
             frame["thread"] = frame["thread"].astype("Int64")
             yield frame
 
-    schema = "row long, entry_id string, thread long, teller long, t long, by long, numbers array<int>, lines array<long>, pieces array<long>, seen_at array<int>, seen array<long>, bits array<int>, told array<long>, mine array<long>, mine_at array<int>, breaks array<int>"
+    schema = "row long, entry_id string, thread long, teller long, t long, by long, shape binary, seen_at array<int>, seen array<long>, bits array<int>, told array<long>, mine array<long>, mine_at array<int>"
     thread = F.when(F.length("conversation_id") > 0, F.xxhash64("conversation_id"))
     return timed.select(F.monotonically_increasing_id().alias("row"), "entry_id", thread.alias("thread"), "sender_name", teller.alias("teller"), "body", "t", "by").mapInPandas(scan, schema)
 
@@ -492,11 +548,15 @@ def learned_lines(parsed: DataFrame) -> DataFrame:
     x = parsed.select("teller", F.pmod(F.coalesce("thread", "row"), F.lit(127)).cast("int").alias("thread"), F.explode(F.arrays_zip("seen", "bits")).alias("x")).select("teller", "thread", F.col("x.seen").alias("key"), F.col("x.bits").alias("bits"))
     count = lambda bit: F.sum(F.when(F.col("bits").bitwiseAND(bit) > 0, 1).otherwise(0))
     by_teller = x.groupBy("key", "teller").agg(F.count(F.lit(1)).alias("n"), F.min("thread").alias("lo"), F.max("thread").alias("hi"), *[count(b).alias(c) for b, c in ((BEFORE, "before"), (BELOW, "below"), (ABOVE, "above"), (SURE, "sure"))])
-    overall = by_teller.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     wide = (F.col("lo") < F.col("hi")) | (F.col("n") > 2 * OWN)
+    # a teller's own lines go the way of all tellers' sums, so that the counts of tellers are brought together once
+    own = (_rate_floor(F.col("below"), F.col("n")) > RATE) & wide
+    nobody = F.lit(None).cast("long")
+    to = F.explode(F.when(own, F.array(nobody, F.col("teller"))).otherwise(F.array(nobody))).alias("to")
+    sums = by_teller.select("key", to, "n", "before", "below", "above", "sure", "lo", "hi").groupBy("key", "to").agg(*[F.sum(c).alias(c) for c in ("n", "before", "below", "above", "sure")], F.count(F.lit(1)).alias("tellers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     kind = sum(F.when(_rate_floor(F.col(c), F.col("n")) > RATE, bit).otherwise(0) for c, bit in (("before", FORMULA), ("below", AFTER), ("above", BANNER), ("sure", WORD)))
-    general = overall.filter((F.col("tellers") > 1) & wide & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))).select(F.lit(None).cast("long").alias("teller"), "key", kind.cast("int").alias("kind")).filter("kind > 0")
-    return general.unionByName(by_teller.filter((_rate_floor(F.col("below"), F.col("n")) > RATE) & wide).select("teller", "key", F.lit(AFTER).alias("kind")))
+    general = (F.col("tellers") > 1) & wide & (F.greatest("before", "below", "above", "sure") * 2 > F.col("n"))
+    return sums.filter(F.col("to").isNotNull() | general).select(F.col("to").alias("teller"), "key", F.when(F.col("to").isNull(), kind).otherwise(AFTER).cast("int").alias("kind")).filter("kind > 0")
 
 
 def known_lines(parsed: DataFrame) -> DataFrame:
@@ -512,6 +572,8 @@ def known_lines(parsed: DataFrame) -> DataFrame:
 
 #: The first instant of a sentence, in milliseconds, and 20 bits of its teller share one number.
 _TELLER = 1 << 20
+#: So do the messages that tell a sentence and, in the lower half, those that tell it as their own.
+_TELLING = 1 << 32
 
 
 def thread_hits(parsed: DataFrame) -> DataFrame:
@@ -519,16 +581,19 @@ def thread_hits(parsed: DataFrame) -> DataFrame:
     threads = parsed.filter("thread IS NOT NULL")
     first = F.shiftleft(F.floor(F.col("by") / 1000), 20).bitwiseOR(F.pmod("teller", F.lit(_TELLER)))
     told = threads.filter("by > 0").select("thread", first.alias("first"), F.explode(F.concat(F.array(F.lit(0).cast("long")), "told", F.array_distinct("mine"))).alias("key"), "mine")
-    told = told.select("thread", "key", "first", ((F.col("key") == 0) | F.array_contains("mine", F.col("key"))).cast("int").alias("k"))
+    # messages that tell it, and in the lower half those that tell it as their own
+    told = told.select("thread", "key", "first", (F.lit(_TELLING) + ((F.col("key") == 0) | F.array_contains("mine", F.col("key"))).cast("long")).alias("k"))
     # key 0 is told by every message of the thread: it counts them
     table = cut(told.groupBy("thread", "key").agg(F.min("first").alias("first"), F.sum("k").alias("k")))
+    table = table.select("thread", "key", "first", F.shiftright("k", 32).alias("tellings"), F.col("k").bitwiseAND(_TELLING - 1).alias("k"))
     size = table.filter("key = 0").select("thread", F.col("k").alias("messages"))
     threads_of = table.filter("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("threads"))
     total = size.agg(F.count(F.lit(1)).alias("all"))
     when = F.shiftleft(F.floor(F.col("t") / 1000), 20).bitwiseOR(F.pmod("teller", F.lit(_TELLER)))
     asked = threads.filter("t > 0").select("row", "thread", when.alias("when"), F.explode(F.arrays_zip("mine", "mine_at")).alias("x")).select("row", "thread", "when", F.col("x.mine").alias("key"), F.col("x.mine_at").alias("at"))
     copies = F.when(F.pmod("first", F.lit(_TELLER)) == F.pmod("when", F.lit(_TELLER)), COPY_US // 1000).otherwise(0)
-    held = asked.join(table.filter("key <> 0"), ["thread", "key"]).filter(F.shiftright("first", 20) + copies < F.shiftright("when", 20)).select("row", "thread", "key", "at", "k")
+    # who asks has told it too: what one message tells, nobody has told before
+    held = asked.join(table.filter("key <> 0 AND tellings > 1").drop("tellings"), ["thread", "key"]).filter(F.shiftright("first", 20) + copies < F.shiftright("when", 20)).select("row", "thread", "key", "at", "k")
     share = F.greatest((F.col("threads") - 1) / (F.col("all") + FEW_THREADS), (F.col("k") - OWN) / F.greatest(F.col("messages"), F.lit(1)), F.lit(0.0))
     return held.join(threads_of, "key").join(size, "thread").join(F.broadcast(total)).select("row", "at", share.alias("share"))  # one row
 
@@ -544,9 +609,8 @@ def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
         for pdf in batches:
             ids: list[str] = []
             numbers: list[int] = []
-            for e, no, packed, pieces, breaks, found_here in pdf.itertuples(index=False):
-                packed = packed.tolist()
-                flags = [x & 1023 for x in packed]
+            for e, shape, found_here in pdf.itertuples(index=False):
+                no, flags, ends, sizes, in_own, in_line, letters, breaks = unpack(shape)
                 kinds: dict[int, int] = {}
                 shares: dict[int, float] = {}
                 for x in found_here if found_here is not None else ():
@@ -554,18 +618,17 @@ def old_text(mails: DataFrame, stores: DataFrame) -> DataFrame:
                         kinds[x["at"]] = kinds.get(x["at"], 0) | x["kind"]
                     else:
                         shares[x["at"]] = x["share"]
-                old = closing_lines(flags, kinds, [bool(x & 1024) for x in packed])
+                old = closing_lines(flags, kinds, ends)
                 if shares:
-                    sizes = [x >> 11 for x in packed]
-                    parts = [(x >> 48, x >> 24 & 0xFFFFFF, x & 0xFFFFFF) for x in pieces.tolist()]
-                    for k in pasted_lines(set(breaks.tolist()), parts, sizes, shares, greetings(flags, sizes)):
+                    parts = list(zip(accumulate(in_own), accumulate(in_line), letters))
+                    for k in pasted_lines(set(accumulate(breaks)), parts, sizes, shares, greetings(flags, sizes)):
                         old[k] = True
-                got = no[np.array(old, bool)]
+                got = list(compress(accumulate(no), old))
                 ids += [e] * len(got)
-                numbers += got.tolist()
+                numbers += got
             yield pd.DataFrame({"entry_id": pd.Series(ids, dtype=object), "line_no": np.array(numbers, np.int32)})
 
-    wide = parsed.select("row", "entry_id", "numbers", "lines", "pieces", "breaks").join(found, "row", "left").drop("row")
+    wide = parsed.select("row", "entry_id", "shape").join(found, "row", "left").drop("row")
     return wide.mapInPandas(decide, "entry_id string, line_no int")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakepost.llm import filters, language, lexicon, mixing, mojibake, pii, replies, scans, sentences, tokenize
+from lakepost.session import cut
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
@@ -240,6 +241,39 @@ def test_meaningless_sent_falls_back_to_received(spark):
     assert sorted((r[0], r[1]) for r in replies.old_text(only, stores).collect()) == [("j", 3)]
 
 
+def test_shapes_are_packed_whole():
+    lists = [[], [0, 1, 127, 128, 300], [1 << 40], list(range(2000)), []]
+    assert replies.unpack(replies.pack(lists)) == lists and replies.unpack(replies.pack([])) == []
+    assert len(replies.pack([[1] * 1000])) == 1002
+
+
+def test_mail_of_many_sentences(spark):
+    told = " ".join(f"Sentence number {i} is here." for i in range(33_000))
+    got = lines_left(spark, [mail("a", told, "Ann Lee", "t", "2024-01-01 10:00:00"), mail("b", f"New one.\n\n{told}", "Bob Stone", "t", "2024-01-02 10:00:00")])
+    assert got["a"] == [told] and got["b"] == ["New one."]
+
+
+def test_line_statistics_are_shuffled_once(spark, habits):
+    stores = spark.createDataFrame([("s", "Europe/Warsaw", "dmy")], "store_id string, zone_name string, date_order string")
+    learned = replies.learned_lines(cut(replies.parsed_mails(spark.createDataFrame(habits, MAILS), stores)))
+    assert learned._jdf.queryExecution().sparkPlan().toString().count("Generate explode(arrays_zip") == 1
+    alone = [mail(f"z{k}", f"Text number {k} about the box.\n\nAnn Lee\nOnly hers", "Ann Lee", f"e{k}") for k in range(12)]
+    learned = replies.learned_lines(cut(replies.parsed_mails(spark.createDataFrame(habits + alone, MAILS), stores)))
+    got = [tuple(r) for r in learned.collect()]
+    own = [r for r in got if r[1] == replies.line_key("Only hers")]
+    assert len(own) == 1 and own[0][0] is not None and own[0][2] == replies.AFTER
+    assert (None, replies.line_key("Best regards"), replies.FORMULA) in got and len(got) == len(set(got))
+
+
+def test_only_pairs_told_twice_are_joined(spark, habits):
+    stores = spark.createDataFrame([("s", "Europe/Warsaw", "dmy")], "store_id string, zone_name string, date_order string")
+    one, two = "Nobody but the first has said this about cranes.", "This about harbours is said by both of them."
+    rows = [mail("a", f"{one} {two}", "Ann Lee", "t", "2024-01-01 10:00:00"), mail("b", f"Fine.\n\n{two}", "Bob Stone", "t", "2024-01-02 10:00:00")]
+    hits = replies.thread_hits(cut(replies.parsed_mails(spark.createDataFrame(rows, MAILS), stores)))
+    assert "tellings" not in hits.columns and "> 1" in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["at"], r["share"]) for r in hits.collect()] == [(2, 0.0)]
+
+
 # 6: personal data
 def _names():
     return pii.Names({"Anna", "Maeve"}, filters.filter_of(["kowalczyk", "oltawell"]), {"czyk", "well"}, {"大輔"})
